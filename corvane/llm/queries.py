@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, langid, mixing, wordpiece
+from corvane.llm import bpe, langid, mixing, near_dedup, wordpiece
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,5 +43,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op3_language_id": op3_language_id, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing}
-SQL = {"op7_mixing": mixing.SQL}
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return near_dedup.classes(_documents(spark, sf_dir))
+
+
+QUERIES = {"op2_token_counts": op2_token_counts, "op3_language_id": op3_language_id, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op9_near_dedup": op9_near_dedup}
+SQL = {"op7_mixing": mixing.SQL, "op9_near_dedup": near_dedup.SQL}
