@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, langid, mixing, near_dedup, wordpiece
+from corvane.llm import bpe, langid, mixing, near_dedup, paragraph_dedup, wordpiece
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,5 +48,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(_documents(spark, sf_dir))
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op3_language_id": op3_language_id, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op9_near_dedup": op9_near_dedup}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph that documents share, with its component."""
+    return paragraph_dedup.repeats(_documents(spark, sf_dir))
+
+
+QUERIES = {"op2_token_counts": op2_token_counts, "op3_language_id": op3_language_id, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op9_near_dedup": op9_near_dedup, "op10_substring_dedup": op10_substring_dedup}
 SQL = {"op7_mixing": mixing.SQL, "op9_near_dedup": near_dedup.SQL}
