@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, langid, mixing, near_dedup, paragraph_dedup, wordpiece
+from corvane.llm import bpe, langid, mixing, near_dedup, order_minhash, paragraph_dedup, wordpiece
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text."""
+    return order_minhash.edits(_documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-piece lengths of all documents, by the pieces of the public 32k vocabulary."""
     vocabulary = wordpiece.sentencepiece_vocabulary(tokenizer_path("piece_bpe_32k.model"))
@@ -53,5 +58,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.repeats(_documents(spark, sf_dir))
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op3_language_id": op3_language_id, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op9_near_dedup": op9_near_dedup, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_order_minhash": op1_order_minhash, "op2_token_counts": op2_token_counts, "op3_language_id": op3_language_id, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op9_near_dedup": op9_near_dedup, "op10_substring_dedup": op10_substring_dedup}
 SQL = {"op7_mixing": mixing.SQL, "op9_near_dedup": near_dedup.SQL}
