@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import without
 
-# The pattern by which byte-level BPE vocabularies cut text into pieces.
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+# How byte-level BPE vocabularies cut text into pieces. Letter runs come first, as the most frequent.
+PIECE = r" ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}++"
 
-#: Pieces remembered by a worker; the table is emptied when full, so memory stays bounded.
+#: Pieces remembered by a worker, in two generations: the older is dropped when the younger is full.
 REMEMBERED = 300_000
 
 
@@ -64,6 +64,7 @@ class Bpe:
         self.shorter = {i: self._longest_prefix(b) for i, b in self.bytes_of.items()}
         self.compatible: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.cut = regex.compile(PIECE).findall
         table = [self.bytes_of.get(i, b"") for i in range(max([*self.bytes_of, *self.added.values()]) + 1)]
@@ -144,10 +145,11 @@ class Bpe:
             for p in self.cut(part):
                 got = known.get(p)
                 if got is None:
-                    got = self.piece(p.encode())
+                    got = self.older.get(p) or self.piece(p.encode())
                     if len(p) <= 64:
                         if len(known) >= REMEMBERED:
-                            known.clear()
+                            self.older, self.pieces = known, {}
+                            known = self.pieces
                         known[p] = got
                 ids += got
             if token is not None:

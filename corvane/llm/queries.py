@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, langid, mixing, near_dedup, order_minhash, paragraph_dedup, wordpiece
+from corvane.llm import bm25, bpe, langid, license_scan, mixing, near_dedup, order_minhash, paragraph_dedup, wordpiece
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents.select("doc_id", "text", langid.held_out().alias("held_out")), model).drop("text")
 
 
+def op4_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for every document whose id is divisible by 100."""
+    documents = _documents(spark, sf_dir)
+    return bm25.search(documents, documents.where("doc_id % 100 = 0"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses that documents state."""
+    return license_scan.scan(_documents(spark, sf_dir))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to, as digests."""
     coded = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -58,5 +69,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.repeats(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_order_minhash": op1_order_minhash, "op2_token_counts": op2_token_counts, "op3_language_id": op3_language_id, "op6_bpe": op6_bpe, "op7_mixing": op7_mixing, "op9_near_dedup": op9_near_dedup, "op10_substring_dedup": op10_substring_dedup}
-SQL = {"op7_mixing": mixing.SQL, "op9_near_dedup": near_dedup.SQL}
+QUERIES = {
+    "op1_order_minhash": op1_order_minhash,
+    "op2_token_counts": op2_token_counts,
+    "op3_language_id": op3_language_id,
+    "op4_top_k_search": op4_top_k_search,
+    "op5_license_scan": op5_license_scan,
+    "op6_bpe": op6_bpe,
+    "op7_mixing": op7_mixing,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
+}
+SQL = {
+    "op4_top_k_search": bm25.SQL,
+    "op5_license_scan": license_scan.SQL,
+    "op7_mixing": mixing.SQL,
+    "op9_near_dedup": near_dedup.SQL,
+}
