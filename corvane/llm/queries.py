@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bm25, bpe, langid, license_scan, mixing, near_dedup, order_minhash, paragraph_dedup, wordpiece
+from corvane.llm import bm25, bpe, langid, license_scan, line_dedup, mixing, near_dedup, order_minhash, paragraph_dedup, wordpiece
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines with words that stay in every document."""
+    documents = _documents(spark, sf_dir)
+    kept = line_dedup.kept_lines(documents)
+    lines = F.coalesce(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("bigint")
+    rows = documents.select("doc_id", lines.alias("n_lines")).join(kept, "doc_id", "left")
+    kept_lines = F.coalesce("kept", F.expr("cast(array() as array<int>)"))
+    return rows.select("doc_id", "n_lines", F.size(kept_lines).cast("bigint").alias("n_kept"), kept_lines.alias("kept_lines"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     return near_dedup.classes(_documents(spark, sf_dir))
@@ -77,6 +87,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_bpe": op6_bpe,
     "op7_mixing": op7_mixing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }

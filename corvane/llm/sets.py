@@ -174,5 +174,50 @@ def link_colliding(keys: DataFrame, members: Callable[[DataFrame], DataFrame], t
     return components(edges, scratch)
 
 
+class Bits:
+    """A Bloom filter of 64-bit hashes, two bits each. It never misses one; when full, it affirms more that it doesn't hold."""
+
+    MOST, CHUNK = 1 << 28, 1 << 16
+
+    def __init__(self, n: int):
+        self.bits = self.CHUNK
+        while self.bits < min(self.MOST, 16 * n):
+            self.bits <<= 1
+        self.table = np.zeros(self.bits // 8, np.uint8)
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m = np.uint64(self.bits - 1)
+        return (h & m).astype(np.int64), ((h >> np.uint64(32)) & m).astype(np.int64)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        x, y = self.places(h)
+        bit = lambda p: self.table[p >> 3] >> (7 - (p & 7)).astype(np.uint8)
+        return (bit(x) & bit(y) & 1) == 1
+
+    @classmethod
+    def of(cls, hashes: DataFrame, scratch: Scratch) -> Bits:
+        """The filter of a column of bigints: filled by chunks on the executors; the driver gets MOST bits at most."""
+        hashes = scratch.save(hashes)
+        out = cls(hashes.count())
+        size, empty = cls.CHUNK, cls(0)
+        empty.bits, empty.table = out.bits, None
+
+        def cut(batches):
+            for b in batches:
+                for p in empty.places(b.column(0).to_numpy().view(np.uint64)):
+                    yield pa.RecordBatch.from_arrays([pa.array(p // size), pa.array(p % size)], names=["chunk", "bit"])
+
+        def fill(table: pa.Table) -> pa.Table:
+            on = np.zeros(size, np.uint8)
+            on[table["bit"].to_numpy()] = 1
+            return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
+
+        got = hashes.mapInArrow(cut, "chunk bigint, bit bigint").distinct().groupBy("chunk").applyInArrow(fill, "chunk bigint, bits binary").toArrow()
+        for c, bits in zip(got["chunk"].to_pylist(), got["bits"].to_pylist(), strict=True):
+            out.table[c * size // 8 : (c + 1) * size // 8] = np.frombuffer(bits, np.uint8)
+        scratch.drop(hashes)
+        return out
+
+
 def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
