@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from corvane.plans import vectors  # noqa: F401
+    from corvane.plans import relational, vectors  # noqa: F401
 
 
 def queries() -> dict:
