@@ -5,10 +5,10 @@ postings and the lengths of its documents. Document frequencies and the mean len
 score doesn't depend on how the documents are dealt. Queries run in blocks of bounded size against every
 shard; the shards' best are merged exactly, since each shard returns its k best.
 
-In a shard, a query's terms are taken by falling upper bound of what they can add. As soon as the bounds of the rest
-together stay below the k-th best sum so far (the WAND threshold), only documents already met can get there; the
-maxima of the rest's posting blocks bound what each can still gain, and only those that may pass the threshold get
-their remaining postings, by lookup. Such skipping is safe: nothing that belongs to the k best is left out.
+In a shard, a query's rarer terms are summed over their postings first; the k-th best sum is the WAND threshold. The
+frequent terms, which have most of the postings and the least to add, are bounded by the maxima of their blocks: a
+document whose sum and its block's bound stay below the threshold is skipped, and only the others get the frequent
+terms' impacts, many queries' at once if most are left. Such skipping is safe: nothing that belongs to the k best is left out.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from corvane.llm.common import Scratch
 
 TERM = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
-#: A shard's bounds; the documents that share a block of postings; a block of queries' bound, in terms.
-SHARD_DOCS, SHARD_POSTINGS, BLOCK, QUERY_TERMS = 1 << 15, 1 << 23, 128, 500_000
+#: A shard's bounds; a block of queries' bound, in terms; how many queries are evaluated together.
+SHARD_DOCS, SHARD_POSTINGS, QUERY_TERMS, TOGETHER = 1 << 14, 1 << 22, 500_000, 32
+#: Terms in one of OFTEN documents of a shard, MOST_OFTEN at most, are its frequent ones. BLOCK documents share block maxima.
+OFTEN, MOST_OFTEN, BLOCK = 10, 256, 64
 #: Scores are compared as rounded to this many digits, ties by document id.
 DIGITS, MARGIN = 6, 1e-5
 
@@ -71,7 +73,7 @@ def _build(batches):
 
 
 class Shard:
-    """A shard's postings with their impacts and block maxima."""
+    """A shard's postings with their impacts; the most frequent terms also as a table with block maxima."""
 
     def __init__(self, row: dict, mean: float):
         read = lambda k, kind: np.frombuffer(row[k], kind)
@@ -80,52 +82,76 @@ class Shard:
         self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / mean))[self.docs])
         names = row["terms"].decode().split("\n") if row["terms"] else []
         self.of = {t: i for i, t in enumerate(names)}
-        n = len(names)
-        term = np.repeat(np.arange(n), np.diff(self.starts))
-        block = self.docs // BLOCK
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(block) != 0)])) if len(term) else np.empty(0, np.int64)
-        self.block, self.block_max = block[new], np.maximum.reduceat(self.impact, new) if len(new) else np.empty(0)
-        self.block_starts = np.searchsorted(term[new], np.arange(n + 1))
-        self.most = np.maximum.reduceat(self.block_max, self.block_starts[:-1]) if n else np.empty(0)
-
-    def best(self, names: list[str], weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best documents (ids and rounded scores) that hold any of the terms."""
-        at = [(t, w) for t, w in zip(map(self.of.get, names), weights, strict=True) if t is not None]
-        if not at:
-            return np.empty(0, np.int64), np.empty(0)
-        tid, w = np.array([t for t, _ in at]), np.array([x for _, x in at])
-        bound = w * self.most[tid]
-        order = np.argsort(-bound, kind="stable")
-        tid, w = tid[order], w[order]
-        rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0.0]])
-        score = np.zeros(len(self.ids))
-        step = max(8, len(tid) // 8)
-        done, threshold = 0, 0.0
-        while done < len(tid):
-            for t, x in zip(tid[done : done + step], w[done : done + step], strict=True):
-                s, e = self.starts[t], self.starts[t + 1]
-                score[self.docs[s:e]] += x * self.impact[s:e]
-            done = min(done + step, len(tid))
-            if len(score) > k:
-                threshold = np.partition(score, -k)[-k]
-            if rest[done] < threshold - MARGIN:
-                break
-        alive = np.flatnonzero(score > 0)
-        if done < len(tid):
-            gain = np.zeros(-(-len(self.ids) // BLOCK))
-            for t, x in zip(tid[done:], w[done:], strict=True):
-                s, e = self.block_starts[t], self.block_starts[t + 1]
-                gain[self.block[s:e]] += x * self.block_max[s:e]
-            alive = alive[score[alive] + gain[alive // BLOCK] >= threshold - MARGIN]
-            for t, x in zip(tid[done:], w[done:], strict=True):
-                s, e = self.starts[t], self.starts[t + 1]
-                mine = self.docs[s:e]
-                place = np.minimum(np.searchsorted(mine, alive), e - s - 1)
-                hit = mine[place] == alive
-                score[alive[hit]] += x * self.impact[s:e][place[hit]]
-        rounded = np.round(score[alive], DIGITS)
-        top = np.lexsort((self.ids[alive], -rounded))[:k]
-        return self.ids[alive[top]], rounded[top]
+        n, size = len(self.ids), np.diff(self.starts)
+        often = np.flatnonzero(size * OFTEN >= n)
+        often = np.sort(often[np.argsort(-size[often], kind="stable")[:MOST_OFTEN]])
+        self.column = np.full(len(names), -1)
+        self.column[often] = np.arange(len(often))
+        self.table = np.zeros((n, len(often)))
+        for c, t in enumerate(often):
+            s, e = self.starts[t], self.starts[t + 1]
+            self.table[self.docs[s:e], c] = self.impact[s:e]
+        edges = np.arange(0, n, BLOCK)
+        self.block_max = np.maximum.reduceat(self.table, edges, axis=0) if len(often) and n else np.zeros((len(edges), len(often)))
+
+    def best(self, queries: Queries, k: int):
+        """``(query, ids, rounded scores)`` of the k best documents that hold any of a query's terms, for each that has some."""
+        known = np.array([self.of.get(t, -1) for t in queries.names], np.int64)
+        n = len(self.ids)
+        for at in range(0, len(queries.ids), TOGETHER):
+            group = range(at, min(at + TOGETHER, len(queries.ids)))
+            score = np.zeros((len(group), n))
+            often = np.zeros((len(group), self.table.shape[1]))
+            for g, q in enumerate(group):
+                s, e = queries.starts[q], queries.starts[q + 1]
+                tid, w = known[queries.terms[s:e]], queries.weights[s:e]
+                here = tid >= 0
+                tid, w = tid[here], w[here]
+                column = self.column[tid]
+                often[g, column[column >= 0]] = w[column >= 0]
+                tid, w = tid[column < 0], w[column < 0]
+                size = self.starts[tid + 1] - self.starts[tid]
+                ends = np.cumsum(size)
+                if len(ends):
+                    posting = np.repeat(self.starts[tid] - (ends - size), size) + np.arange(ends[-1])
+                    score[g] = np.bincount(self.docs[posting], weights=np.repeat(w, size) * self.impact[posting], minlength=n)
+            # What the frequent terms can add is bounded by their block maxima.
+            gain = np.repeat(often @ self.block_max.T, BLOCK, axis=1)[:, :n]
+            if n > k:
+                threshold = np.partition(score, n - k, axis=1)[:, n - k]
+            else:
+                threshold = np.zeros(len(group))
+            alive = (score + gain >= (threshold - MARGIN)[:, None]) & (score + gain > 0)
+            many = np.flatnonzero(alive.sum(axis=1) * 8 > n)
+            if len(many):
+                score[many] += often[many] @ self.table.T
+            many = set(many.tolist())
+            for g, q in enumerate(group):
+                docs = np.flatnonzero(alive[g])
+                mine = score[g, docs]
+                if g not in many:
+                    mine = mine + self.table[docs] @ often[g]
+                if len(docs) > 4 * k:
+                    top = np.partition(mine, len(mine) - k)[len(mine) - k]
+                    docs, mine = docs[mine >= top - MARGIN], mine[mine >= top - MARGIN]
+                docs, mine = docs[mine > 0], mine[mine > 0]
+                rounded = np.round(mine, DIGITS)
+                top = np.lexsort((self.ids[docs], -rounded))[:k]
+                if len(top):
+                    yield queries.ids[q], self.ids[docs[top]], rounded[top]
+
+
+class Queries:
+    """A block of weighted queries, each term once."""
+
+    def __init__(self, rows):
+        rows = list(rows)
+        of: dict[str, int] = {}
+        self.terms = np.array([of.setdefault(x["term"], len(of)) for r in rows for x in r["v"]], np.int32)
+        self.weights = np.array([x["w"] for r in rows for x in r["v"]], np.float64)
+        self.starts = np.concatenate([[0], np.cumsum([len(r["v"]) for r in rows])]).astype(np.int64)
+        self.ids = [r["id"] for r in rows]
+        self.names = list(of)
 
 
 def search(documents: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,8 +187,8 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, key: str = "do
     blocks = max(1, -(-(vectors.agg(F.sum(F.size("v"))).first()[0] or 0) // QUERY_TERMS))
     found = []
     for i in range(blocks):
-        block = vectors.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect() if blocks > 1 else vectors.collect()
-        shared = spark.sparkContext.broadcast([(r["id"], [x["term"] for x in r["v"]], np.array([x["w"] for x in r["v"]])) for r in block])  # about QUERY_TERMS terms
+        block = vectors.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)
+        shared = spark.sparkContext.broadcast(Queries(block.toLocalIterator()))  # about QUERY_TERMS terms
         found.append(scratch.save(index.mapInArrow(_searcher(shared, mean, k), "query_id bigint, doc_id bigint, score double")))
         shared.unpersist()
     rows = found[0]
@@ -176,11 +202,10 @@ def _searcher(shared, mean: float, k: int):
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                shard = Shard(row, mean)
-                for query, names, weights in shared.value:
-                    ids, scores = shard.best(names, weights, k)
-                    if len(ids):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), query)), pa.array(ids), pa.array(scores)], names=["query_id", "doc_id", "score"])
+                found = list(Shard(row, mean).best(shared.value, k))
+                cols = [np.repeat(np.array([q for q, _, _ in found], np.int64), [len(i) for _, i, _ in found])]
+                cols += [np.concatenate([np.empty(0, kind), *x]) for kind, x in ((np.int64, [i for _, i, _ in found]), (np.float64, [v for _, _, v in found]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "doc_id", "score"])
 
     return run
 
