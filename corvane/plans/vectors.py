@@ -1 +1,194 @@
-"""Queries over vectors."""
+"""Queries over vectors: exact and quantised neighbours, their measures, codes and health of embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from corvane.catalog import query
+from corvane.functions import vectors as V
+from corvane.operators import knn
+from corvane.plans.common import table as T
+
+_KNN = """with q as (select vec_id as query_id, embedding::double[] as q from embeddings where {who}),
+d as (select query_id, vec_id, round(list_cosine_distance(embedding::double[], q), 6) as distance from embeddings, q {where}),
+r as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from d)
+select query_id, rank, vec_id, distance from r where rank <= {k}"""
+
+
+@query("v3_exact_knn", _KNN.format(who="vec_id in (3, 77, 150, 288, 401)", where="", k=10))
+def v3(spark, d):
+    e = T(spark, d, "embeddings")
+    return knn.exact_knn(e, e.where(F.col("vec_id").isin(3, 77, 150, 288, 401)), 10)
+
+
+@query("v3_batch_knn", _KNN.format(who="vec_id % 5 = 0", where="", k=10))
+def v3_batch(spark, d):
+    e = T(spark, d, "embeddings")
+    return knn.exact_knn(e, e.where("vec_id % 5 = 0"), 10)
+
+
+@query("f8_horizon_knn", _KNN.format(who="vec_id % 50 = 7", where="where vec_id <= 300", k=10))
+def f8(spark, d):
+    e = T(spark, d, "embeddings")
+    return knn.exact_knn(e.where("vec_id <= 300"), e.where("vec_id % 50 = 7"), 10)
+
+
+@query("k1_vector_top_k", """select vec_id, label, round(list_cosine_distance(embedding::double[], (select embedding::double[] from embeddings where vec_id = 42)), 6) as distance from embeddings order by distance, vec_id limit 20""")
+def k1(spark, d):
+    e = T(spark, d, "embeddings")
+    return knn.exact_knn(e, e.where("vec_id = 42"), 20).join(e.select("vec_id", "label"), "vec_id").select("vec_id", "label", "distance")
+
+
+@query("v1_pair_distances", "select a.vec_id as a, b.vec_id as b, round(list_cosine_distance(a.embedding::double[], b.embedding::double[]), 6) as distance from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+def v1(spark, d):
+    e = T(spark, d, "embeddings")
+    b = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
+    met = e.select(F.col("vec_id").alias("a"), "embedding").join(b, F.col("b") == F.col("a") + 1)
+    return met.select("a", "b", F.round(V.cosine_distance(F.col("embedding"), F.col("eb")), 6).alias("distance"))
+
+
+@query("v2_normalised", """with n as (select vec_id, embedding::double[] as v, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) as norm from embeddings)
+select vec_id, list_transform(v, lambda x: round(x / greatest(norm, 1e-12), 6)) as unit, round(norm, 6) as norm from n""")
+def v2(spark, d):
+    e = T(spark, d, "embeddings")
+    return e.select("vec_id", F.transform(V.normalise(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query("f13_zero_vectors", "select vec_id, len(list_filter(embedding, lambda x: abs(x) > 1e-12)) = 0 as is_zero from embeddings")
+def f13(spark, d):
+    return T(spark, d, "embeddings").select("vec_id", V.is_zero(F.col("embedding")).alias("is_zero"))
+
+
+_RANGE = """scale as (select dim, lo, greatest(hi, lo + 1e-4) as hi from (select dim, quantile_cont(x, 0.005) as lo, quantile_cont(x, 0.995) as hi from
+(select unnest(range(0, 64)) as dim, unnest(embedding::double[]) as x from embeddings) group by dim))"""
+
+
+@query("a12_code_scale", f"with {_RANGE} select dim, round(lo, 9) as lo, round(hi, 9) as hi from scale")
+def a12(spark, d):
+    return knn.scale(T(spark, d, "embeddings")).select("dim", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
+
+
+@query("h12_code_encode", f"""with {_RANGE}, x as (select vec_id, unnest(range(0, 64)) as dim, unnest(embedding::double[]) as x from embeddings),
+c as (select vec_id, dim, x, least(greatest(round_even((x - lo) / ((hi - lo) / 15), 0), 0), 15)::int as c from x join scale using (dim))
+select vec_id, list(c order by dim) as codes, sum((x > 0)::int)::bigint as positive from c group by vec_id""")
+def h12(spark, d):
+    e = T(spark, d, "embeddings")
+    positive = F.size(F.filter("embedding", lambda x: x > 0)).cast("bigint")
+    return knn.with_codes(e, knn.scale(e)).select("vec_id", "codes", positive.alias("positive"))
+
+
+@query("h13_code_decode", f"""with {_RANGE}, x as (select vec_id, unnest(range(0, 64)) as dim, unnest(embedding::double[]) as x from embeddings),
+c as (select vec_id, dim, x, lo + (hi - lo) / 15 * least(greatest(round_even((x - lo) / ((hi - lo) / 15), 0), 0), 15) as y from x join scale using (dim))
+select vec_id, round(avg(abs(x - y)), 6) as mean_error, round(max(abs(x - y)), 6) as max_error from c group by vec_id""")
+def h13(spark, d):
+    e = T(spark, d, "embeddings")
+    off = F.zip_with("embedding", "decoded", lambda x, y: F.abs(x.cast("double") - y))
+    total = F.aggregate(off, F.lit(0.0), lambda s, x: s + x)
+    return knn.with_codes(e, knn.scale(e)).select("vec_id", F.round(total / F.size("embedding"), 6).alias("mean_error"), F.round(F.array_max(off), 6).alias("max_error"))
+
+
+_BITS = "list_reduce(list_transform(a.embedding, lambda x, i: (((x > 0)::int) <> ((b.embedding[i] > 0)::int))::int), lambda s, x: s + x)"
+
+
+@query("n1_hamming_with_ties", f"""with h as (select b.vec_id as query_id, a.vec_id, {_BITS}::bigint as hamming from embeddings a, embeddings b where b.vec_id % 100 = 1),
+r as (select *, rank() over (partition by query_id order by hamming) as rank from h) select query_id, vec_id, hamming, rank from r where rank <= 40""")
+def n1(spark, d):
+    e = T(spark, d, "embeddings").withColumn("bits", V.sign_words("embedding"))
+    q = e.where("vec_id % 100 = 1").select(F.col("vec_id").alias("query_id"), F.col("bits").alias("qb"))
+    met = e.join(F.broadcast(q), F.lit(True)).select("query_id", "vec_id", V.hamming(F.col("bits"), F.col("qb")).cast("bigint").alias("hamming"))
+    return met.withColumn("rank", F.rank().over(Window.partitionBy("query_id").orderBy("hamming")).cast("bigint")).where("rank <= 40")
+
+
+@query("h11_vector_lane", f"""with {_RANGE}, x as (select vec_id, unnest(range(0, 64)) as dim, unnest(embedding::double[]) as x from embeddings),
+c as (select vec_id, dim, least(greatest(round_even((x - lo) / ((hi - lo) / 15), 0), 0), 15) * ((hi - lo) / 15) + lo as y from x join scale using (dim)),
+h as (select b.vec_id as query_id, a.vec_id, {_BITS}::bigint as hamming from embeddings a, embeddings b where b.vec_id % 100 = 1),
+n as (select * from (select *, rank() over (partition by query_id order by hamming) as r from h) where r <= 100),
+s as (select n.query_id, n.vec_id, n.hamming, round(sum(q.x * c.y), 6) as score from n join x q on q.vec_id = n.query_id join c on c.vec_id = n.vec_id and c.dim = q.dim group by 1, 2, 3),
+t as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) select query_id, rank, vec_id, hamming, score from t where rank <= 20""")
+def h11(spark, d):
+    e = T(spark, d, "embeddings")
+    coded = knn.with_codes(e, knn.scale(e))
+    return knn.two_stage(coded, coded.where("vec_id % 100 = 1"), 20, 100)
+
+
+@query("a13_recall_at_k", f"""with e as ({_KNN.format(who="vec_id % 25 = 0", where="", k=10)}), h as (select b.vec_id as query_id, a.vec_id, {_BITS}::bigint as hamming from embeddings a, embeddings b where b.vec_id % 25 = 0),
+f as (select * from (select *, row_number() over (partition by query_id order by hamming, vec_id) as r from h) where r <= 40)
+select e.query_id, count(f.vec_id) / count(*)::double as recall from e left join f using (query_id, vec_id) group by e.query_id""")
+def a13(spark, d):
+    e = T(spark, d, "embeddings").withColumn("bits", V.sign_words("embedding"))
+    q = e.where("vec_id % 25 = 0")
+    met = e.join(F.broadcast(q.select(F.col("vec_id").alias("query_id"), F.col("bits").alias("qb"))), F.lit(True)).withColumn("hamming", V.hamming(F.col("bits"), F.col("qb")))
+    near = met.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("hamming", "vec_id"))).where("r <= 40")
+    return knn.recall(knn.exact_knn(e, q, 10), near)
+
+
+@query("v9_distance_recall", f"""with e as ({_KNN.format(who="vec_id % 25 = 0", where="", k=10)}), f as ({_KNN.format(who="vec_id % 25 = 0", where="where vec_id % 3 <> 1", k=10)}),
+k as (select query_id, max(distance) as kth, count(*) as n from e group by query_id)
+select k.query_id, count(*) filter (where f.distance <= kth + 1e-6) / any_value(n)::double as recall from k left join f using (query_id) group by k.query_id""")
+def v9(spark, d):
+    e = T(spark, d, "embeddings")
+    q = e.where("vec_id % 25 = 0")
+    return knn.distance_recall(knn.exact_knn(e, q, 10), knn.exact_knn(e.where("vec_id % 3 <> 1"), q, 10))
+
+
+@query("a20_label_purity", """with d as (select a.vec_id, a.label, b.label as other, row_number() over (partition by a.vec_id order by round(list_cosine_distance(a.embedding::double[], b.embedding::double[]), 6), b.vec_id) as r
+from embeddings a join embeddings b on a.vec_id <> b.vec_id) select label, count(*) as n, round(avg((label = other)::int), 6) as purity from d where r = 1 group by label""")
+def a20(spark, d):
+    e = T(spark, d, "embeddings")
+    near = knn.exact_knn(e, e, 2).where("query_id <> vec_id")
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("r = 1")
+    labels = e.select("vec_id", F.col("label").alias("other"))
+    met = near.join(labels, "vec_id").join(e.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    return met.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("other")).cast("int")), 6).alias("purity"))
+
+
+@query("a20_silhouette", """with d as (select a.vec_id, a.label, b.label as other, avg(list_cosine_distance(a.embedding::double[], b.embedding::double[])) as dist from embeddings a join embeddings b on a.vec_id <> b.vec_id group by 1, 2, 3),
+s as (select vec_id, label, max(dist) filter (where label = other) as own, min(dist) filter (where label <> other) as near from d group by vec_id, label)
+select label, round(avg(coalesce((near - own) / greatest(near, own), 0)), 6) as silhouette from s group by label""")
+def silhouette(spark, d):
+    # The mean distance of a vector to a label's is one minus its product with the mean of the label's unit vectors.
+    e = T(spark, d, "embeddings").withColumn("unit", V.normalise(F.col("embedding")))
+    dims = e.select("label", F.posexplode("unit").alias("dim", "x")).groupBy("label", "dim").agg(F.sum("x").alias("x"))
+    sums = dims.groupBy(F.col("label").alias("other")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"]).alias("total"))
+    sums = sums.join(e.groupBy(F.col("label").alias("other")).agg(F.count("*").alias("n")), "other")
+    met = e.join(F.broadcast(sums), F.lit(True)).withColumn("product", V.dot(F.col("unit"), F.col("total")))
+    same = F.col("label") == F.col("other")
+    met = met.withColumn("dist", F.when(same, F.try_divide(F.col("n") - F.col("product"), F.col("n") - 1)).otherwise(1 - F.col("product") / F.col("n")))
+    s = met.groupBy("vec_id", "label").agg(F.max(F.when(same, F.col("dist"))).alias("own"), F.min(F.when(~same, F.col("dist"))).alias("near"))
+    value = F.coalesce((F.col("near") - F.col("own")) / F.greatest("near", "own"), F.lit(0.0))
+    return s.groupBy("label").agg(F.round(F.avg(value), 6).alias("silhouette"))
+
+
+@query("a21_neighbour_preservation", f"""with q as (select * from embeddings where vec_id % 20 = 0),
+e as (select * from (select q.vec_id as query_id, b.vec_id, row_number() over (partition by q.vec_id order by round(list_cosine_distance(q.embedding::double[], b.embedding::double[]), 6), b.vec_id) as r from q, embeddings b) where r <= 10),
+p as (select * from (select q.vec_id as query_id, b.vec_id, row_number() over (partition by q.vec_id order by round(list_cosine_distance(q.embedding[1:8]::double[], b.embedding[1:8]::double[]), 6), b.vec_id) as r from q, embeddings b) where r <= 10)
+select e.query_id, count(p.vec_id) / count(*)::double as recall from e left join p using (query_id, vec_id) group by e.query_id""")
+def a21(spark, d):
+    e = T(spark, d, "embeddings")
+    flat = e.withColumn("embedding", F.slice("embedding", 1, 8))
+    return knn.recall(knn.exact_knn(e, e.where("vec_id % 20 = 0"), 10), knn.exact_knn(flat, flat.where("vec_id % 20 = 0"), 10))
+
+
+@query("t12_bit_functions", f"""select a.vec_id as a, b.vec_id as b, {_BITS}::bigint as hamming from embeddings a join embeddings b on b.vec_id = a.vec_id + 3 where a.vec_id % 2 = 0""")
+def t12(spark, d):
+    e = T(spark, d, "embeddings").withColumn("bits", V.sign_words("embedding"))
+    b = e.select(F.col("vec_id").alias("b"), F.col("bits").alias("bb"))
+    met = e.where("vec_id % 2 = 0").join(b, F.col("b") == F.col("vec_id") + 3)
+    return met.select(F.col("vec_id").alias("a"), "b", V.hamming(F.col("bits"), F.col("bb")).cast("bigint").alias("hamming"))
+
+
+@query("g22_permuted_vectors", """select vec_id, list_transform(range(0, 64), lambda i: round(case when i % 2 = 0 then -1 else 1 end * embedding[(i - 17 + 64) % 64 + 1]::double, 6)) as moved from embeddings""")
+def g22(spark, d):
+    return T(spark, d, "embeddings").select("vec_id", F.transform(V.permuted("embedding"), lambda x: F.round(x, 6)).alias("moved"))
+
+
+@query("v13_placement", f"""with r as ({_KNN.format(who="vec_id % 50 = 3", where="where vec_id % 50 <> 3", k=10)})
+select query_id, round(sum(power(1 - distance, 4) * embedding[1]::double) / sum(power(1 - distance, 4)), 6) as x, round(sum(power(1 - distance, 4) * embedding[2]::double) / sum(power(1 - distance, 4)), 6) as y
+from r join embeddings using (vec_id) group by query_id""")
+def v13(spark, d):
+    e = T(spark, d, "embeddings")
+    near = knn.exact_knn(e.where("vec_id % 50 <> 3"), e.where("vec_id % 50 = 3"), 10).join(e.select("vec_id", "embedding"), "vec_id")
+    w = F.pow(1 - F.col("distance"), 4)
+    at = lambda i: F.round(F.sum(w * F.col("embedding")[i].cast("double")) / F.sum(w), 6)
+    return near.groupBy("query_id").agg(at(0).alias("x"), at(1).alias("y"))
