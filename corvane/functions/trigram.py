@@ -7,6 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def trigrams(text: Column) -> Column:
@@ -52,6 +53,6 @@ def word_similarity_of(needle: str | None, hay: str | None) -> float:
     return best
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def word_similarity(needle: pa.Array, hay: pa.Array) -> pa.Array:
     return pa.array([word_similarity_of(a.as_py(), b.as_py()) for a, b in zip(needle, hay, strict=True)], pa.float64())
