@@ -47,8 +47,9 @@ def captured_help(spark: SparkSession, path: str) -> DataFrame:
     return text_tree(spark, path, "*.txt").select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("name"), "text")
 
 
-def json_probes(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.json(path, schema=schema, multiLine=True)
+def json_probes(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Files of one JSON array each; ``lines``: of one object a line."""
+    return spark.read.json(path, schema=schema, multiLine=not lines)
 
 
 def json_report(df: DataFrame, path: str) -> None:
