@@ -41,6 +41,8 @@ class Graph:
 
     def add(self, ids, vectors) -> list[dict]:
         """Insert rows; for each the links it got and the older nodes whose links changed (gained it, or dropped another for it)."""
+        if not len(ids):
+            return []
         x = np.asarray(vectors, float).reshape(len(ids), -1)
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), V.TINY)
         first = len(self.ids)
