@@ -14,10 +14,9 @@ first; lines with more partners and none verified are compared with all of their
 
 from __future__ import annotations
 
-import xxhash
 import numpy as np
 import pyarrow as pa
-from collections import defaultdict
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,74 +27,91 @@ from corvane.llm.sets import BROADCAST_ROWS, Bits, mixed
 NUM, DEN = 4, 5
 RARITY = 1 << 19
 BEST = 4
-#: Words that are ordered at once.
-CHUNK = 1_500_000
-_PIECE = 1 << 12
-
-
-class _Chunk:
-    """The words of some texts, line by line."""
-
-    def __init__(self):
-        self.of: defaultdict[bytes, int] = defaultdict()
-        self.of.default_factory = self.of.__len__
-        self.clear()
-
-    def clear(self):
-        self.words: list[int] = []
-        self.count: list[int] = []
-        self.doc: list[int] = []
-        self.line: list[int] = []
-        if len(self.of) > 600_000:
-            self.of.clear()
-            self.hashes = np.empty(0, np.uint64)
-        elif not self.of:
-            self.hashes = np.empty(0, np.uint64)
-
-    def add(self, doc: int, text: str) -> None:
-        of, words = self.of, self.words
-        for i, line in enumerate(text.encode("utf-8", "replace").lower().split(b"\n")):
-            ws = line.split()
-            if ws:
-                words += [of[w] for w in ws]
-                self.count.append(len(ws))
-                self.doc.append(doc)
-                self.line.append(i)
-
-    def hash(self) -> np.ndarray:
-        """The words' hashes by their local number."""
-        n = len(self.hashes)
-        if len(self.of) > n:
-            digest = xxhash.xxh3_64_intdigest
-            new = list(self.of)[n:]
-            self.hashes = np.concatenate([self.hashes, np.array([digest(w) for w in new], np.uint64)])
-        return self.hashes
-
-
-def _chunks(batches):
-    chunk = _Chunk()
+#: Bytes of text that are cut at once, whole documents each.
+PIECE = 1 << 18
+_PART = 1 << 12
+#: A row of a prefix is one value: 32 bits of the word, 20 of the set's size, 12 of the place. Sets of a million words count
+#: as of that size; the positional filter passes over places from LAST_PLACE on.
+MOST_WORDS, LAST_PLACE = (1 << 20) - 1, (1 << 12) - 1
+#: A word is known by this many bits of its hash; its class of rarity stands before them.
+BITS, CLASSES = 42, 64
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.isin(np.arange(256), (32, *range(9, 14)))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class _Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, as many as were needed so far."""
+
+    n = 0
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > cls.n:
+            cls.n = max(n, PIECE + 1)
+            cls.up, cls.down = _powers(int(_BASE), cls.n), _powers(pow(int(_BASE), -1, 1 << 64), cls.n)
+        return cls.up, cls.down
+
+
+def _pieces(batches):
+    """``(doc, start of each line, hash and line of each word, lines' documents and numbers)`` of some documents at a time.
+
+    All words of a piece are found and hashed together: a word's hash is a difference of running sums of its bytes
+    times powers of a base, shifted back to the first power.
+    """
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            text = t.as_py()
-            if text and i is not None:
-                chunk.add(i, text)
-                if len(chunk.words) >= CHUNK:
-                    yield chunk
-                    chunk.clear()
-    if chunk.words:
-        yield chunk
+        keep = pa.compute.and_(b.column(0).is_valid(), b.column(1).is_valid())
+        ids, texts = b.column(0).filter(keep).to_numpy(zero_copy_only=False), b.column(1).filter(keep).cast(pa.large_string())
+        if not len(ids):
+            continue
+        offset = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(ids) + 1]
+        data = texts.buffers()[2]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        i = 0
+        while i < len(ids):
+            j = max(i + 1, int(np.searchsorted(offset, offset[i] + PIECE, "right")) - 1)
+            text = _LOWER[data[offset[i] : offset[j]]]
+            at = offset[i : j + 1] - offset[i]
+            yield _words(ids[i:j], at, text)
+            i = j
+
+
+def _words(ids: np.ndarray, at: np.ndarray, text: np.ndarray):
+    n = len(text)
+    filled = ~_BLANK[text]
+    edge = np.zeros(n + 1, bool)  # where a document begins
+    edge[at] = True
+    begins, ends = filled.copy(), filled.copy()
+    begins[1:] &= ~filled[:-1] | edge[1:n]
+    ends[:-1] &= ~filled[1:] | edge[1:n]
+    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    up, down = _Powers.of(n + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text + np.uint64(1)) * up[:n], dtype=np.uint64)])
+    h = mixed((total[ends] - total[begins]) * down[begins])
+    starts = np.unique(np.concatenate([at[:-1], np.flatnonzero(text == 10) + 1]))
+    starts = starts[starts < n] if n else starts[:0]
+    line = np.searchsorted(starts, begins, "right") - 1
+    used, line = np.unique(line, return_inverse=True)
+    doc = np.searchsorted(at, starts[used], "right") - 1
+    number = used - np.searchsorted(starts, at[doc])
+    return h, line, ids[doc], number
 
 
 def _rarity(texts: DataFrame) -> np.ndarray:
-    """How often words with each value of a hash occur: RARITY counters over all texts."""
+    """Classes of rarity by hash: RARITY counters of the words of all texts, on a logarithmic scale."""
 
     def count(batches):
         total = np.zeros(RARITY, np.int64)
-        for chunk in _chunks(batches):
-            h = chunk.hash()
-            uses = np.bincount(np.array(chunk.words, np.int64), minlength=len(h))
-            np.add.at(total, (h & np.uint64(RARITY - 1)).astype(np.int64), uses)
-        parts = total.reshape(-1, _PIECE)
+        for h, _, _, _ in _pieces(batches):
+            np.add.at(total, (h & np.uint64(RARITY - 1)).astype(np.int64), 1)
+        parts = total.reshape(-1, _PART)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "n"])
 
     def add(table: pa.Table) -> pa.Table:
@@ -105,8 +121,8 @@ def _rarity(texts: DataFrame) -> np.ndarray:
     got = texts.mapInArrow(count, "part bigint, n binary").groupBy("part").applyInArrow(add, "part bigint, n binary").toArrow()
     out = np.zeros(RARITY, np.int64)
     for p, n in zip(got["part"].to_pylist(), got["n"].to_pylist(), strict=True):
-        out[p * _PIECE : (p + 1) * _PIECE] = np.frombuffer(n, np.int64)
-    return out
+        out[p * _PART : (p + 1) * _PART] = np.frombuffer(n, np.int64)
+    return np.minimum(2 * np.log2(out + 1), CLASSES - 1).astype(np.uint8)
 
 
 def prefix_length(n):
@@ -114,32 +130,34 @@ def prefix_length(n):
     return np.where(n > 3, n - (NUM * n + DEN - 1) // DEN + 1, 0)
 
 
-def _lines(chunk: _Chunk, rarity: np.ndarray) -> pa.RecordBatch:
-    h = chunk.hash()
-    order = np.lexsort((h, rarity[(h & np.uint64(RARITY - 1)).astype(np.int64)]))
-    rank = np.empty(len(h), np.uint64)
-    rank[order] = np.arange(len(h), dtype=np.uint64)
-    line = np.repeat(np.arange(len(chunk.count), dtype=np.uint64), chunk.count)
-    key = np.sort((line << np.uint64(32)) | rank[np.array(chunk.words, np.int64)])
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    word = order[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-    line = (key >> np.uint64(32)).astype(np.int64)
-    n = np.bincount(line, minlength=len(chunk.count))
-    start = np.concatenate([[0], np.cumsum(n)[:-1]])
-    one, two = mixed(h), mixed(h ^ np.uint64(0xD1B54A32D192ED03))
-    bit = h & np.uint64(127)
-    low = np.where(bit < 64, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
-    high = np.where(bit < 64, np.uint64(0), np.uint64(1) << (bit & np.uint64(63)))
+def _lines(piece, rarity: np.ndarray) -> pa.RecordBatch:
+    h, line, doc, number = piece
+    word = (rarity[(h & np.uint64(RARITY - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(BITS)) | (h >> np.uint64(64 - BITS))
+    if len(doc) <= 1 << 16:  # line, class and hash in one value, that sorts at once
+        key = np.sort((line.astype(np.uint64) << np.uint64(48)) | word)
+        line, word = (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1)
+    else:
+        order = np.lexsort((word, line))
+        line, word = line[order], word[order]
+    new = np.concatenate([[True], (word[1:] != word[:-1]) | (line[1:] != line[:-1])]) if len(line) else np.empty(0, bool)
+    line, word = line[new], word[new]
+    n = np.bincount(line, minlength=len(doc))
+    start = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
+    one, two = mixed(word), mixed(word ^ np.uint64(0xD1B54A32D192ED03))
+    bit = one & np.uint64(127)
+    power = np.uint64(1) << (bit & np.uint64(63))
+    low, high = np.where(bit < 64, power, np.uint64(0)), np.where(bit < 64, np.uint64(0), power)
     shown = prefix_length(n)
-    in_prefix = np.arange(len(line)) - start[line] < shown[line]
-    short = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(shown)]).astype(np.int32)), pa.array(short[word[in_prefix]]))
-    signed = lambda x: pa.array(x.view(np.int64))
+    place = np.arange(len(line)) - start[line]
+    in_prefix = place < shown[line]
+    size = np.minimum(n, MOST_WORDS).astype(np.uint64)[line[in_prefix]]
+    packed = (word[in_prefix] << np.uint64(32)) | (size << np.uint64(12)) | np.minimum(place[in_prefix], LAST_PLACE).astype(np.uint64)
+    prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(shown)]).astype(np.int32)), pa.array(packed.view(np.int64)))
+    by_line = lambda f, x: pa.array((f.reduceat(x, start) if len(start) else x).view(np.int64))
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(chunk.doc, pa.int64()), pa.array(chunk.line, pa.int32()),
-            signed(np.add.reduceat(one[word], start)), signed(np.add.reduceat(two[word], start)), pa.array(n.astype(np.int32)),
-            signed(np.bitwise_xor.reduceat(low[word], start)), signed(np.bitwise_xor.reduceat(high[word], start)), prefix,
+            pa.array(doc, pa.int64()), pa.array(number.astype(np.int32)), by_line(np.add, one), by_line(np.add, two), pa.array(n.astype(np.int32)),
+            by_line(np.bitwise_xor, low), by_line(np.bitwise_xor, high), prefix,
         ],
         names=["doc", "line", "s1", "s2", "n", "p0", "p1", "prefix"],
     )
@@ -153,30 +171,33 @@ def _near(batches):
     """Of the rows of each word, sorted by (word, size): the partners of each later line that pass the filters."""
     held: list[np.ndarray] | None = None
     for b in batches:
-        new = [b.column(k).to_numpy() for k in range(7)]
+        new = [b.column(k).to_numpy() for k in range(5)]
         rows = new if held is None else [np.concatenate([x, y]) for x, y in zip(held, new, strict=True)]
         if not len(rows[0]):
             continue
-        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last word may go on
+        cut = int(np.searchsorted(rows[0], (rows[0][-1] >> 32) << 32))  # the last word may go on
         yield _partners([x[:cut] for x in rows])
         held = [x[cut:] for x in rows]
         if len(held[0]) > HELD:
             yield _partners(held)
-            far = DEN * held[1].astype(np.int64) >= NUM * int(held[1][-1])
+            far = DEN * _size(held[0]) >= NUM * int(_size(held[0][-1]))
             held = [x[far] for x in held]
     if held is not None:
         yield _partners(held)
 
 
+def _size(key):
+    return (key >> 12) & MOST_WORDS
+
+
 def _partners(rows: list[np.ndarray]) -> pa.RecordBatch:
-    token, n, pos, p0, p1, doc, line = rows
+    key, p0, p1, doc, line = rows
     xs: list[np.ndarray] = []
     ys: list[np.ndarray] = []
     ds: list[np.ndarray] = []
-    if len(token):
-        n = n.astype(np.int64)
-        key = (token.astype(np.int64) << 20) + n
-        first = np.searchsorted(key, (token.astype(np.int64) << 20) + (NUM * n + DEN - 1) // DEN)
+    if len(key):
+        n, pos = _size(key), key & LAST_PLACE
+        first = np.searchsorted(key, ((key >> 32) << 32) | ((NUM * n + DEN - 1) // DEN << 12))
         reach = np.arange(len(key)) - first
         p0, p1 = p0.view(np.uint64), p1.view(np.uint64)
         i = np.flatnonzero(reach >= 1)
@@ -186,7 +207,8 @@ def _partners(rows: list[np.ndarray]) -> pa.RecordBatch:
             both = n[i] + n[j]
             need = (NUM * both + NUM + DEN - 1) // (NUM + DEN)  # the least overlap at this Jaccard
             differ = np.bitwise_count(p0[i] ^ p0[j]).astype(np.int64) + np.bitwise_count(p1[i] ^ p1[j])
-            ok = (differ <= both - 2 * need) & (1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 + np.minimum(pos[i], pos[j]) >= need)
+            far = (pos[i] == LAST_PLACE) | (pos[j] == LAST_PLACE)
+            ok = (differ <= both - 2 * need) & (far | (np.minimum(n[i] - pos[i], n[j] - pos[j]) + np.minimum(pos[i], pos[j]) >= need))
             if ok.any():
                 a, c = i[ok], j[ok]
                 later = (doc[a] > doc[c]) | ((doc[a] == doc[c]) & (line[a] > line[c]))
@@ -201,7 +223,7 @@ def _partners(rows: list[np.ndarray]) -> pa.RecordBatch:
         x, y = x[order], y[order]
         new = np.concatenate([[True], x[1:] != x[:-1]])
         place = np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-        more = np.bincount(x, minlength=len(token))[x] > BEST
+        more = np.bincount(x, minlength=len(key))[x] > BEST
         keep = place < BEST
         x, y, more = x[keep], y[keep], more[keep]
     else:
@@ -210,8 +232,12 @@ def _partners(rows: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(line[x]), pa.array(doc[y]), pa.array(line[y]), pa.array(more)], names=["xd", "xl", "yd", "yl", "more"])
 
 
+#: Stands for a document as such, in the place of a line number.
+WHOLE = -1
+
+
 def _place(doc, line):
-    return mixed(mixed(np.asarray(doc).astype(np.int64).view(np.uint64)) + np.asarray(line).astype(np.uint64))
+    return mixed(mixed(np.asarray(doc).astype(np.int64).view(np.uint64)) + np.asarray(line).astype(np.int64).view(np.uint64))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -220,26 +246,33 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame
 
     def placed(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_place(b.column(0).to_numpy(), b.column(1).to_numpy()).view(np.int64))], names=["h"])
+            docs, lines = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for h in (_place(docs, lines), np.unique(_place(docs, np.full(len(docs), WHOLE)))):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
     wanted = texts.sparkSession.sparkContext.broadcast(Bits.of(ends.mapInArrow(placed, "h bigint"), scratch))  # of bounded size
 
     def sets(batches):
-        for b in batches:
-            docs, lines, words = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = t.as_py()
-                if not text or i is None:
-                    continue
-                parts = text.encode("utf-8", "replace").lower().split(b"\n")
-                for k in np.flatnonzero(wanted.value.has(_place(np.full(len(parts), i, np.int64), np.arange(len(parts))))):
-                    ws = set(parts[k].split())
-                    if ws:
-                        docs.append(i)
-                        lines.append(int(k))
-                        words.append(np.array([xxhash.xxh3_64_intdigest(w) for w in ws], np.uint64).view(np.int64))
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(lines, pa.int32()), pa.array(words, pa.list_(pa.int64()))], names=["d", "l", "w"])
+        def some(batches):
+            for b in batches:  # documents without any of the lines aren't even cut
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                yield b.filter(pa.array(wanted.value.has(_place(ids, np.full(len(ids), WHOLE)))))
+
+        for h, line, doc, number in _pieces(some(batches)):
+            hit = wanted.value.has(_place(doc, number))
+            if not hit.any():
+                continue
+            mine = hit[line]
+            h, line = h[mine], line[mine]
+            order = np.lexsort((h, line))
+            h, line = h[order], line[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])
+            h, line = h[new], line[new]
+            ends = np.cumsum(np.concatenate([[0], np.bincount(line, minlength=len(doc))[hit]]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[hit], pa.int64()), pa.array(number[hit].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))],
+                names=["d", "l", "w"],
+            )
 
     full = scratch.save(texts.mapInArrow(sets, "d bigint, l int, w array<bigint>"))
     x = full.select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("w").alias("xw"))
@@ -256,17 +289,18 @@ def kept_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     scratch = Scratch(df.sparkSession)
     texts = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("body")).where("id is not null and body is not null")
-    rarity = df.sparkSession.sparkContext.broadcast(_rarity(texts))  # RARITY counters
+    rarity = df.sparkSession.sparkContext.broadcast(_rarity(texts))  # RARITY bytes
 
     def cut(batches):
-        for chunk in _chunks(batches):
-            yield _lines(chunk, rarity.value)
+        for piece in _pieces(batches):
+            yield _lines(piece, rarity.value)
 
-    lines = texts.mapInArrow(cut, "doc bigint, line int, s1 bigint, s2 bigint, n int, p0 bigint, p1 bigint, prefix array<int>")
+    lines = texts.mapInArrow(cut, "doc bigint, line int, s1 bigint, s2 bigint, n int, p0 bigint, p1 bigint, prefix array<bigint>")
     first = lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line", "n", "p0", "p1", "prefix")).alias("f"))
     classes = scratch.save(first.select("f.*"))
-    shown = classes.where("size(prefix) > 0").select(F.posexplode("prefix").alias("pos", "token"), "n", "p0", "p1", "doc", "line").select("token", "n", "pos", "p0", "p1", "doc", "line")
-    near = scratch.save(shown.repartition("token").sortWithinPartitions("token", "n").mapInArrow(_near, "xd bigint, xl int, yd bigint, yl int, more boolean"))
+    shown = classes.where("size(prefix) > 0").select(F.explode("prefix").alias("key"), "p0", "p1", "doc", "line")
+    near = shown.repartition(F.shiftright("key", 32)).sortWithinPartitions("key").mapInArrow(_near, "xd bigint, xl int, yd bigint, yl int, more boolean")
+    near = scratch.save(near)
     pairs = near.groupBy("xd", "xl", "yd", "yl").agg(F.max("more").alias("more"))
     matched = scratch.save(_verified(pairs, texts, scratch))
     left = scratch.save(near.where("more").select("xd", "xl").distinct().join(matched, ["xd", "xl"], "left_anti"))
@@ -274,11 +308,13 @@ def kept_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         # All partners of the lines whose nearest ones didn't match.
         few = left.count() <= BROADCAST_ROWS
         mine = shown.join(F.broadcast(left) if few else left, (F.col("doc") == F.col("xd")) & (F.col("line") == F.col("xl")), "left_semi")
-        x = mine.select("token", *[F.col(c).alias(f"x_{c}") for c in ("n", "pos", "p0", "p1", "doc", "line")])
-        every = x.join(shown, "token").where("(doc < x_doc or (doc = x_doc and line < x_line))")
+        part = {"token": "shiftright(key, 32)", "n": f"cast(shiftright(key, 12) & {MOST_WORDS} as int)", "pos": f"cast(key & {LAST_PLACE} as int)"}
+        unpacked = lambda df: df.select(*[F.expr(v).alias(k) for k, v in part.items()], "p0", "p1", "doc", "line")
+        x = scratch.save(unpacked(mine).select("token", *[F.col(c).alias(f"x_{c}") for c in ("n", "pos", "p0", "p1", "doc", "line")]))
+        every = unpacked(shown).join(F.broadcast(x) if x.count() <= BROADCAST_ROWS else x, "token").where("(doc < x_doc or (doc = x_doc and line < x_line))")
         every = every.withColumn("need", F.expr(f"({NUM} * (n + x_n) + {NUM + DEN - 1}) div {NUM + DEN}"))
         every = every.where(f"{DEN} * least(n, x_n) >= {NUM} * greatest(n, x_n) and bit_count(p0 ^ x_p0) + bit_count(p1 ^ x_p1) <= n + x_n - 2 * need")
-        every = every.where("least(n - pos, x_n - x_pos) + least(pos, x_pos) >= need")
+        every = every.where(f"greatest(pos, x_pos) = {LAST_PLACE} or least(n - pos, x_n - x_pos) + least(pos, x_pos) >= need")
         every = scratch.save(every.select(F.col("x_doc").alias("xd"), F.col("x_line").alias("xl"), F.col("doc").alias("yd"), F.col("line").alias("yl")).distinct())
         matched = matched.unionByName(_verified(every, texts, scratch)).distinct()
     gone = matched.select(F.col("xd").alias("doc"), F.col("xl").alias("line"))
