@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch
+from corvane.llm.common import Scratch, bounded_batches
 
 TERM = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
@@ -162,6 +162,7 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, key: str = "do
     Null ids are passed over; rows with the same id are documents of their own. An empty table gives an empty one.
     """
     spark = documents.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark)
     of = lambda df: df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t"))
     index = scratch.save(of(documents).mapInArrow(_build, ", ".join(f"{k} {v}" for k, v in _SHARD.items())))

@@ -22,13 +22,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import without
+from corvane.llm.common import bounded_batches, without
 
 # How byte-level BPE vocabularies cut text into pieces. Letter runs come first, as the most frequent.
 PIECE = r" ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}++"
 
-#: Pieces remembered by a worker, in two generations: the older is dropped when the younger is full.
-REMEMBERED = 300_000
+#: Pieces remembered by a worker, in two generations: the older is dropped when the younger is full. As many pairs are remembered.
+REMEMBERED = 250_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -38,6 +38,23 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """The ids of pieces, as bytes of int32."""
+
+    def __init__(self, bpe: Bpe):
+        super().__init__()
+        self.bpe, self.older = bpe, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece) or np.array(self.bpe.piece(piece.encode()), np.int32).tobytes()
+        if len(piece) <= 64:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Bpe:
     """A byte-level BPE vocabulary, built from the text of a tokenizer file."""
 
@@ -62,9 +79,8 @@ class Bpe:
             self.trie.add_word(b.decode("latin-1"), i)
         self.trie.make_automaton()
         self.shorter = {i: self._longest_prefix(b) for i, b in self.bytes_of.items()}
-        self.compatible: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.compatible: dict[int, bool] = {}
+        self.pieces = _Pieces(self)
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.cut = regex.compile(PIECE).findall
         table = [self.bytes_of.get(i, b"") for i in range(max([*self.bytes_of, *self.added.values()]) + 1)]
@@ -79,11 +95,12 @@ class Bpe:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging in rank order keeps these two tokens apart."""
-        known = self.compatible.get((left, right))
+        pair = left << 32 | right
+        known = self.compatible.get(pair)
         if known is None:
-            if len(self.compatible) > 2_000_000:
+            if len(self.compatible) >= REMEMBERED // 2:
                 self.compatible.clear()
-            known = self.compatible[left, right] = self._apart(left, right)
+            known = self.compatible[pair] = self._apart(left, right)
         return known
 
     def _apart(self, left: int, right: int) -> bool:
@@ -136,26 +153,15 @@ class Bpe:
             at -= len(self.bytes_of[token])
         return tuple(out)
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known = self.pieces
-        at = 0
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text (int32)."""
+        known, parts, at = self.pieces, [], 0
         for start, stop, token in self._added(text):
-            part = text[at:start] if at or start < len(text) else text
-            for p in self.cut(part):
-                got = known.get(p)
-                if got is None:
-                    got = self.older.get(p) or self.piece(p.encode())
-                    if len(p) <= 64:
-                        if len(known) >= REMEMBERED:
-                            self.older, self.pieces = known, {}
-                            known = self.pieces
-                        known[p] = got
-                ids += got
+            parts += [known[p] for p in self.cut(text[at:start] if at or start < len(text) else text)]
             if token is not None:
-                ids.append(token)
+                parts.append(np.int32(token).tobytes())
             at = stop
-        return ids
+        return np.frombuffer(b"".join(parts), np.int32)
 
     def _added(self, text: str):
         if self.split is not None and any(t in text for t in self.added):
@@ -188,7 +194,13 @@ KINDS = {
 }
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+
+
 def _coder(df: DataFrame, tokenizer: str, outputs: tuple[str, ...]):
+    bounded_batches(df.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: its size doesn't depend on the data
 
@@ -204,12 +216,12 @@ def _coder(df: DataFrame, tokenizer: str, outputs: tuple[str, ...]):
                 elif k == "n_tokens":
                     col.append(len(ids))
                 elif k == "ids_sha256":
-                    col.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                    col.append(hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
                 elif k == "decoded":
                     col.append(bpe.decode(ids).decode("utf-8", "replace"))
                 else:
                     col.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-        return pa.StructArray.from_arrays([pa.array(v, KINDS[k][0]) for k, v in cols.items()], names=list(cols))
+        return pa.StructArray.from_arrays([_lists(v) if k == "ids" else pa.array(v, KINDS[k][0]) for k, v in cols.items()], names=list(cols))
 
     return code
 

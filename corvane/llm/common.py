@@ -29,6 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+#: Rows of an Arrow batch between executors and Python: texts may be long, and both sides hold whole batches.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to BATCH_ROWS, if they are more; results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor costs no recomputation of them."""
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import without
+from corvane.llm.common import bounded_batches, without
 
 N = 4
 SLOTS = 1 << 20
@@ -83,6 +83,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     The n-gram counts and the filters' slots are made by aggregations; the driver gets the SLOTS
     words of the table at most. No labelled row gives a model that says ``und``.
     """
+    bounded_batches(labelled.sparkSession)
     rows = labelled.where(f"`{text}` is not null and `{lang}` is not null").select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l"))
     sizes = rows.groupBy("l").count().orderBy("l").limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
@@ -127,6 +128,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     ``und`` and 0 where the text is null or has no letter. Columns with these names are replaced,
     the others stay as they are; no row is dropped.
     """
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # SLOTS words: its size doesn't depend on the data
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")

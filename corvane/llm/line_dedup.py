@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch
+from corvane.llm.common import Scratch, bounded_batches
 from corvane.llm.sets import BROADCAST_ROWS, Bits, mixed
 
 #: Jaccard, as a fraction of integers.
@@ -167,14 +167,28 @@ def _lines(piece, rarity: np.ndarray) -> pa.RecordBatch:
 HELD = 250_000
 
 
+#: Rows that are compared at once, at least.
+AT_ONCE = 20_000
+
+
+def _gathered(batches):
+    """The columns of as many batches as have AT_ONCE rows together."""
+    got: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            got.append(b)
+        if sum(x.num_rows for x in got) >= AT_ONCE:
+            yield [np.concatenate([x.column(k).to_numpy() for x in got]) for k in range(5)]
+            got = []
+    if got:
+        yield [np.concatenate([x.column(k).to_numpy() for x in got]) for k in range(5)]
+
+
 def _near(batches):
     """Of the rows of each word, sorted by (word, size): the partners of each later line that pass the filters."""
     held: list[np.ndarray] | None = None
-    for b in batches:
-        new = [b.column(k).to_numpy() for k in range(5)]
+    for new in _gathered(batches):
         rows = new if held is None else [np.concatenate([x, y]) for x, y in zip(held, new, strict=True)]
-        if not len(rows[0]):
-            continue
         cut = int(np.searchsorted(rows[0], (rows[0][-1] >> 32) << 32))  # the last word may go on
         yield _partners([x[:cut] for x in rows])
         held = [x[cut:] for x in rows]
@@ -287,6 +301,7 @@ def kept_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Lines are cut at line feeds; words are ASCII-lower-cased runs of anything but ASCII white space. Null texts and null
     ids have no lines here. Rows with the same id are one document. An empty table gives an empty one.
     """
+    bounded_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession)
     texts = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("body")).where("id is not null and body is not null")
     rarity = df.sparkSession.sparkContext.broadcast(_rarity(texts))  # RARITY bytes

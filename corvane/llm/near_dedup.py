@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, without
+from corvane.llm.common import Scratch, bounded_batches
 from corvane.llm.sets import BROADCAST_ROWS, link_colliding, mixed, shingle_set, signed
 
 BANDS, ROWS = 40, 5
@@ -75,9 +75,11 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     Shingles are of five ASCII-lower-cased words; a text of fewer words is one shingle, one without words
     or null has none and is linked with nothing. Documents are linked at a Jaccard similarity of 0.75 or
     more; ``component_id`` is the least id reachable, ``kept`` whether it is the row's own. Equal sets
-    are one node, so thousands of copies cost one sketch comparison. Rows with the same id are one
-    node. A null id has a null component and is kept. An empty table gives an empty one.
+    are one node, so thousands of copies cost one comparison. Where one id stands on rows of different
+    texts, each row has the component of its own text. A null id has a null component and is kept. An empty
+    table gives an empty one.
     """
+    bounded_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession)
     texts = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("body"))
     made = scratch.save(texts.mapInArrow(_sketched, "id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>"))

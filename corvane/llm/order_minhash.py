@@ -48,7 +48,7 @@ def fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
     }
     for name, sql in steps.items():
         df = df.withColumn(name, F.expr(sql))
-    number = f"flatten(zip_with({b}, concat(slice({b}, 2, size({b})), array(size({g}))), (x, y) -> sequence(0, y - x - 1)))"
+    number = f"if(size({b}) = 0, cast(array() as array<int>), flatten(zip_with({b}, concat(slice({b}, 2, size({b})), array(size({g}))), (x, y) -> sequence(0, y - x - 1))))"
     df = df.withColumn(s, F.expr(f"sort_array(zip_with({g}, {number}, (x, o) -> (xxhash64(x & {_HASH}, o) & {_HASH}) | (x & {_POS})))"))
     df = df.withColumn(b, F.expr(f"transform({s}, x -> cast(shiftrightunsigned(x, {64 - _SKETCH_BITS}) as int))"))
     least = f"transform(slice(sort_array(transform({s}, x -> x ^ {_FLIP})), 1, {TUPLE}), x -> x ^ {_FLIP})"

@@ -17,7 +17,7 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _known: dict[bytes, int] = {}
 #: Word hashes that a worker remembers; the table is emptied when full.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: A unit of exact linking holds two blocks of about this many set elements.
 BLOCK = 400_000
 #: Rows (of three longs) up to which cluster members are broadcast; beyond, they are joined by a shuffle.

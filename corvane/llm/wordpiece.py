@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import without
+from corvane.llm.common import bounded_batches, without
 
 #: Words are runs of letters, digits and marks, or single other characters that aren't white space.
 TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -97,6 +97,7 @@ def count_tokens(df: DataFrame, vocabulary: tuple[list[str], list[str]], text: s
     A word that greedy longest-match can't cut wholly into pieces is one unknown token. Null and empty
     texts have zero of each. Columns of ``df`` with these names are replaced; rows and other columns stay.
     """
+    bounded_batches(df.sparkSession)
     pieces = df.sparkSession.sparkContext.broadcast(tuple(tuple(sorted(set(p) - {""})) for p in vocabulary))  # a vocabulary: of fixed size
 
     @F.arrow_udf("struct<n_words: bigint, n_tokens: bigint, n_unknown: bigint>")
