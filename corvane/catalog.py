@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from corvane.plans import maintenance, relational, retrieval, vectors  # noqa: F401
+    from corvane.plans import maintenance, relational, retrieval, upkeep, vectors  # noqa: F401
 
 
 def queries() -> dict:

@@ -149,6 +149,18 @@ def plan(issues: Iterable[str]) -> Plan:
     return Plan(tuple(a for a in ACTIONS if a in todo), frozenset(r[0] for r in hit), frozenset(open_), tuple(notes))
 
 
+def signature(issues: Column) -> Column:
+    """The signature of ``plan(issues)`` for a column of arrays of issue codes."""
+    has = lambda *codes: F.arrays_overlap(issues, F.array(*map(F.lit, codes)))
+    explained = has(*[r[0] for r in RULES if r[2]])
+    open_ = F.when(explained, F.expr("cast(array() as array<string>)")).otherwise(F.array_sort(F.array_intersect(issues, F.array(*map(F.lit, SYMPTOMS)))))
+    asked = {a: has(*[r[0] for r in RULES if r[1] == a]) if a != "SCAN_VECTORS" else F.size(open_) > 0 for a in ACTIONS}
+    written = asked["REEMBED_STALE"] | asked["REPAIR_VECTORS"] | asked["SCAN_VECTORS"]
+    asked["VACUUM"] = asked["VACUUM"] | written
+    actions = F.array_compact(F.array(*[F.when(asked[a], a) for a in ACTIONS]))
+    return F.concat(F.array_join(actions, ","), F.lit("|"), F.array_join(open_, ","))
+
+
 def blocked(events: DataFrame, now: Column, cooldown: int = COOLDOWN_S) -> DataFrame:
     """``(signature, blocked)``: whether the latest finished, not transient event of each plan within the cooldown ended badly."""
     recent = events.where((F.col("status") != "RUNNING") & ~F.coalesce("transient", F.lit(False)) & (F.col("started_at") > now - F.make_dt_interval(secs=F.lit(cooldown))))
