@@ -66,11 +66,11 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
     own = ("size", "source_size", "target", "copies")
     sized = without(df, *own).withColumn("size", size_of(text))
     by = scratch.save(targets(sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))))
-    by = by.select(F.col("source").alias("__source"), "source_size", "target", "rate")
+    by = by.select(F.col("source").alias("__source"), "source_size", "target", F.col("rate").alias("__rate"))
     joined = sized.join(F.broadcast(by) if by.count() <= BROADCAST_SOURCES else by, sized[source].eqNullSafe(by["__source"]))
-    frac = F.col("rate") - F.floor("rate")
-    copies = F.floor("rate") + (draw(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")))) < frac).cast("bigint")
-    return joined.withColumn("copies", copies.cast("bigint")).drop("__source", "rate")
+    frac = F.col("__rate") - F.floor("__rate")
+    copies = F.floor("__rate") + (draw(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")))) < frac).cast("bigint")
+    return joined.withColumn("copies", copies.cast("bigint")).drop("__source", "__rate")
 
 
 def emit(mixed: DataFrame) -> DataFrame:

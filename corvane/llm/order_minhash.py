@@ -83,13 +83,13 @@ def with_next(df: DataFrame, columns: list[str], key: str = "doc_id") -> DataFra
     group = F.coalesce(F.floor((F.col(key).cast("decimal(20,0)") - low) / width).cast("bigint"), F.lit(-1))
     down = Window.orderBy(F.col("group").desc())
     firsts = df.groupBy(group.alias("group")).agg(F.max(key).alias("first"))
-    firsts = firsts.select("first", F.col("group").alias("own"), F.coalesce(F.lag("group").over(down), F.min("group").over(Window.partitionBy())).alias("before"))
-    firsts = scratch.save(firsts)
+    before = F.coalesce(F.lag("group").over(down), F.min("group").over(Window.partitionBy()))
+    firsts = scratch.save(firsts.select(F.col("first").alias("__first"), F.col("group").alias("__own"), before.alias("__before")))
     hint = F.broadcast if firsts.count() <= BROADCAST_GROUPS else (lambda x: x)
-    dealt = df.withColumn("__group", group).join(hint(firsts), (F.col("__group") == F.col("own")) & F.col(key).eqNullSafe(F.col("first")), "left")
+    dealt = df.withColumn("__group", group).join(hint(firsts), (F.col("__group") == F.col("__own")) & F.col(key).eqNullSafe(F.col("__first")), "left")
     place = F.array(F.struct(F.col("__group").alias("g"), F.lit(0).alias("copy")))
-    also = F.array(F.struct(F.col("before").alias("g"), F.lit(1).alias("copy")))
-    dealt = dealt.withColumn("__at", F.explode(F.when(F.col("before").isNull(), place).otherwise(F.concat(place, also)))).drop("own", "first", "before", "__group")
+    also = F.array(F.struct(F.col("__before").alias("g"), F.lit(1).alias("copy")))
+    dealt = dealt.withColumn("__at", F.explode(F.when(F.col("__before").isNull(), place).otherwise(F.concat(place, also)))).drop("__own", "__first", "__before", "__group")
     w = Window.partitionBy("__at.g").orderBy("__at.copy", F.col(key).desc_nulls_last(), F.col(columns[0]).desc_nulls_last())
     return dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).where("__at.copy = 0").drop("__at")
 
