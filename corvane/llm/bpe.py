@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -28,7 +29,7 @@ from corvane.llm.common import bounded_batches, without
 PIECE = r" ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}++"
 
 #: Pieces remembered by a worker, in two generations: the older is dropped when the younger is full. As many pairs are remembered.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -169,6 +170,11 @@ class Bpe:
                 yield m.start(), m.end(), self.added[m[0]]
         yield len(text), len(text), None
 
+    def forget(self) -> None:
+        """Drop what was remembered, but for the younger pieces."""
+        self.pieces.older = {}
+        self.compatible = {}
+
     def decode(self, ids) -> bytes:
         ids = np.asarray(ids, np.int64)
         length = self.length[ids]
@@ -205,8 +211,13 @@ def _coder(df: DataFrame, tokenizer: str, outputs: tuple[str, ...]):
         spec = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: its size doesn't depend on the data
 
     @F.arrow_udf("struct<" + ", ".join(f"{k}: {KINDS[k][1]}" for k in outputs) + ">")
-    def code(text: pa.Array) -> pa.Array:
+    def code(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = _model(spec.value)
+        for text in texts:
+            yield columns(bpe, text)
+        bpe.forget()  # the worker may go on to other work, with little memory to spare
+
+    def columns(bpe: Bpe, text: pa.Array) -> pa.Array:
         cols: dict[str, list] = {k: [] for k in outputs}
         for t in text:
             ids = bpe.encode(t.as_py() or "")
@@ -223,7 +234,7 @@ def _coder(df: DataFrame, tokenizer: str, outputs: tuple[str, ...]):
                     col.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
         return pa.StructArray.from_arrays([_lists(v) if k == "ids" else pa.array(v, KINDS[k][0]) for k, v in cols.items()], names=list(cols))
 
-    return code
+    return code.asNondeterministic()  # so that a filter on what it returns doesn't run it once more
 
 
 def encode(df: DataFrame, tokenizer: str, text: str = "text", outputs: tuple[str, ...] = ("ids", "n_tokens")) -> DataFrame:

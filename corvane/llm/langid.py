@@ -137,7 +137,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang_pred", "score"])
 
     kept = without(df, "lang_pred", "score")
-    got = df.select(*[kept[c] for c in kept.columns], predict(F.col(f"`{text}`")).alias("__got"))
+    got = df.select(*[kept[c] for c in kept.columns], predict.asNondeterministic()(F.col(f"`{text}`")).alias("__got"))
     return got.select(*[F.col(f"`{c}`") for c in kept.columns], F.col("__got.lang_pred").alias("lang_pred"), F.col("__got.score").alias("score"))
 
 

@@ -125,5 +125,5 @@ def count_tokens(df: DataFrame, vocabulary: tuple[list[str], list[str]], text: s
 
     own = ("n_words", "n_tokens", "n_unknown")
     kept = without(df, *own)
-    counted = df.select(*[kept[c] for c in kept.columns], counts(F.col(text)).alias("__counted"))
+    counted = df.select(*[kept[c] for c in kept.columns], counts.asNondeterministic()(F.col(f"`{text}`")).alias("__counted"))
     return counted.select(*[F.col(f"`{c}`") for c in kept.columns], *[F.col(f"__counted.{c}").alias(c) for c in own])
