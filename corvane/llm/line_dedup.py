@@ -16,92 +16,32 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Scratch, bounded_batches
 from corvane.llm.sets import BROADCAST_ROWS, Bits, mixed
+from corvane.llm.words import hashed, pieces
 
 #: Jaccard, as a fraction of integers.
 NUM, DEN = 4, 5
 RARITY = 1 << 19
 BEST = 4
-#: Bytes of text that are cut at once, whole documents each.
-PIECE = 1 << 18
 _PART = 1 << 12
 #: A row of a prefix is one value: 32 bits of the word, 20 of the set's size, 12 of the place. Sets of a million words count
 #: as of that size; the positional filter passes over places from LAST_PLACE on.
 MOST_WORDS, LAST_PLACE = (1 << 20) - 1, (1 << 12) - 1
 #: A word is known by this many bits of its hash; its class of rarity stands before them.
 BITS, CLASSES = 42, 64
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BLANK = np.isin(np.arange(256), (32, *range(9, 14)))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as many as were needed so far."""
-
-    n = 0
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > cls.n:
-            cls.n = max(n, PIECE + 1)
-            cls.up, cls.down = _powers(int(_BASE), cls.n), _powers(pow(int(_BASE), -1, 1 << 64), cls.n)
-        return cls.up, cls.down
-
-
 def _pieces(batches):
-    """``(doc, start of each line, hash and line of each word, lines' documents and numbers)`` of some documents at a time.
-
-    All words of a piece are found and hashed together: a word's hash is a difference of running sums of its bytes
-    times powers of a base, shifted back to the first power.
-    """
-    for b in batches:
-        keep = pa.compute.and_(b.column(0).is_valid(), b.column(1).is_valid())
-        ids, texts = b.column(0).filter(keep).to_numpy(zero_copy_only=False), b.column(1).filter(keep).cast(pa.large_string())
-        if not len(ids):
-            continue
-        offset = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(ids) + 1]
-        data = texts.buffers()[2]
-        data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
-        i = 0
-        while i < len(ids):
-            j = max(i + 1, int(np.searchsorted(offset, offset[i] + PIECE, "right")) - 1)
-            text = _LOWER[data[offset[i] : offset[j]]]
-            at = offset[i : j + 1] - offset[i]
-            yield _words(ids[i:j], at, text)
-            i = j
-
-
-def _words(ids: np.ndarray, at: np.ndarray, text: np.ndarray):
-    n = len(text)
-    filled = ~_BLANK[text]
-    edge = np.zeros(n + 1, bool)  # where a document begins
-    edge[at] = True
-    begins, ends = filled.copy(), filled.copy()
-    begins[1:] &= ~filled[:-1] | edge[1:n]
-    ends[:-1] &= ~filled[1:] | edge[1:n]
-    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _Powers.of(n + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text + np.uint64(1)) * up[:n], dtype=np.uint64)])
-    h = mixed((total[ends] - total[begins]) * down[begins])
-    starts = np.unique(np.concatenate([at[:-1], np.flatnonzero(text == 10) + 1]))
-    starts = starts[starts < n] if n else starts[:0]
-    line = np.searchsorted(starts, begins, "right") - 1
-    used, line = np.unique(line, return_inverse=True)
-    doc = np.searchsorted(at, starts[used], "right") - 1
-    number = used - np.searchsorted(starts, at[doc])
-    return h, line, ids[doc], number
+    """Of some documents at a time: hash and line of each word, the lines' documents and numbers. Lines without words are left out."""
+    for ids, at, text in pieces(batches):
+        begins, h = hashed(at, text)
+        starts = np.unique(np.concatenate([at[:-1], np.flatnonzero(text == 10) + 1]))
+        starts = starts[starts < len(text)]
+        used, line = np.unique(np.searchsorted(starts, begins, "right") - 1, return_inverse=True)
+        doc = np.searchsorted(at, starts[used], "right") - 1
+        yield h, line, ids[doc], used - np.searchsorted(starts, at[doc])
 
 
 def _rarity(texts: DataFrame) -> np.ndarray:
@@ -354,4 +294,21 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         return pa.array(out, pa.string())
 
     joined = df.join(kept, F.col(f"`{key}`") == F.col("__id"), "left")
-    return joined.withColumn(text, F.when(F.col(f"`{key}`").isNull(), F.col(f"`{text}`")).otherwise(clean(F.col(f"`{text}`"), F.col("__kept")))).drop("__id", "__kept")
+    return joined.withColumn(text, F.when(F.col(f"`{key}`").isNull(), F.col(f"`{text}`")).otherwise(clean.asNondeterministic()(F.col(f"`{text}`"), F.col("__kept")))).drop("__id", "__kept")
+
+
+#: For ids from 0 and texts of fewer than a million lines.
+SQL = r"""
+with ls as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
+ln as (select doc_id, unnest(range(0, len(ls))) as line, unnest(ls) as t from ls),
+ws as (select doc_id * 1000000 + line as spot, list_sort(list_distinct(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) as w from ln),
+cls as (select w, min(spot) as f, len(w) as n from ws where len(w) > 0 group by w),
+tok as (select f, n, unnest(w) as t from cls),
+df as (select t, count(*) as d from tok group by t),
+pre as (select f, n, t from (select f, n, t, row_number() over (partition by f order by d, t) as r from tok join df using (t)) where r <= n - (4 * n + 4) // 5 + 1),
+cand as (select distinct a.f as x, b.f as y from pre a join pre b on a.t = b.t and b.f < a.f and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+gone as (select distinct x from (select x, len(list_intersect(a.w, b.w)) as c, a.n + b.n as n from cand join cls a on a.f = x join cls b on b.f = y) where 5 * c >= 4 * (n - c)),
+kept as (select f // 1000000 as doc_id, list((f % 1000000)::int order by f) as kept_lines from cls where f not in (select x from gone) group by 1)
+select d.doc_id, coalesce(length(text) - length(replace(text, chr(10), '')) + 1, 0)::bigint as n_lines, coalesce(len(kept_lines), 0)::bigint as n_kept, coalesce(kept_lines, []) as kept_lines
+from documents d left join kept k on k.doc_id = d.doc_id
+"""

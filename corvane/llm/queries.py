@@ -95,5 +95,6 @@ SQL = {
     "op4_top_k_search": bm25.SQL,
     "op5_license_scan": license_scan.SQL,
     "op7_mixing": mixing.SQL,
+    "op8_line_dedup": line_dedup.SQL,
     "op9_near_dedup": near_dedup.SQL,
 }

@@ -123,7 +123,7 @@ def test_order_minhash_matches_definition(spark):
 def test_next_wraps_and_takes_gaps(spark, monkeypatch):
     monkeypatch.setattr(order_minhash, "GROUP", 2)
     ids = [5, 6, 7, 100, 101, 10**12, -4, None]
-    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id bigint, text string")
+    df = spark.createDataFrame([(i, f"t{i}", 0) for i in ids], "doc_id bigint, text string, first int")
     got = {r["doc_id"]: r["next_text"] for r in order_minhash.with_next(df, ["text"]).collect()}
     order = [10**12, 101, 100, 7, 6, 5, -4, None]
     assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1], strict=True)}
@@ -282,7 +282,7 @@ def test_targets(spark, sizes):
 
 
 def test_mix(spark, prose):
-    d = docs(spark, prose).withColumn("size", F.lit("clash"))
+    d = docs(spark, prose).withColumn("size", F.lit("clash")).withColumn("rate", F.lit("clash"))
     a = {r["doc_id"]: r for r in mixing.mix(d).collect()}
     assert {i: r["copies"] for i, r in a.items()} == {r["doc_id"]: r["copies"] for r in mixing.mix(d.repartition(7)).collect()}
     for i, r in a.items():
