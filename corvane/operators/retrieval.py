@@ -35,9 +35,16 @@ STOP_WORDS = frozenset(
 )
 
 
-def postings(bodies: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """``(word, id, positions)`` of the keyword index."""
+#: Distinct words of a block of queries up to which they are broadcast.
+BROADCAST_WORDS = 100_000
+
+
+def postings(bodies: DataFrame, key: str = "id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """``(word, id, positions)`` of the keyword index; ``only``: of the words of these query terms, without building the rest."""
     at = bodies.select(F.col(key).alias("id"), F.posexplode(X.words(F.col(text))).alias("position", "word"))
+    if only is not None:
+        wanted = only.select("word").distinct()
+        at = at.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_WORDS else wanted, "word", "left_semi")
     return at.groupBy("word", "id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
 
 

@@ -157,12 +157,14 @@ def a10(spark, d):
 @query("h6_keyword_lane", f"""with {_INDEX}, {_ASK}, m as (select query_id, id, round(sum(n / (n + 1.0)), 6) as score from qt join tf using (word) group by query_id, id, n_terms having count(*) = n_terms),
 r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from m) select query_id, 'fts' as lane, id, rank from r where rank <= 40""")
 def h6(spark, d):
-    return R.keyword_lane(R.postings(docs(spark, d)), asked(spark, d), by_cover=False)
+    q = asked(spark, d)
+    return R.keyword_lane(R.postings(docs(spark, d), only=R.query_terms(q)), q, by_cover=False)
 
 
 @query("h16_cover_density")
 def h16(spark, d):
-    return R.keyword_lane(R.postings(docs(spark, d)), asked(spark, d))
+    q = asked(spark, d)
+    return R.keyword_lane(R.postings(docs(spark, d), only=R.query_terms(q)), q)
 
 
 @query("h7_skip_rule", f"""with {_INDEX}, {_ASK}, df as (select word, count(*) as ndoc from tf group by word), k as (select query_id, min(ndoc) as least, count(ndoc) as known, count(*) as terms from qt left join df using (word) group by query_id)
@@ -178,7 +180,8 @@ m as (select query_id, id, round(sum(n / (n + 1.0)), 6) as score from (select qu
 r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from m) select query_id, 'fts_any' as lane, id, rank from r where rank <= 40""")
 def h8(spark, d):
     b = docs(spark, d)
-    return R.any_word_lane(R.postings(b), asked(spark, d), R.term_df(b))
+    q = asked(spark, d)
+    return R.any_word_lane(R.postings(b, only=R.query_terms(q)), q, R.term_df(b))
 
 
 _ENTITIES = "e as (select p_partkey as entity_id, p_name as name, [lower(split_part(p_type, ' ', 3)), lower(p_brand)] as aliases, case when p_partkey % 2 = 0 then 'tool' else 'concept' end as type, case when p_partkey % 4 = 0 then 'T' || (1000 + p_partkey) else '' end as ext_id from part)"
