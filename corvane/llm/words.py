@@ -35,6 +35,9 @@ class _Powers:
         return cls.up, cls.down
 
 
+powers = _Powers.of
+
+
 def pieces(batches):
     """``(ids, where each text begins and ends, the lower-cased bytes of all)`` of batches ``(id, text)``; rows with a null are left out."""
     for b in batches:

@@ -431,6 +431,45 @@ def test_substring_dedup(spark, prose):
     assert 1 - (1 - 0.75**paragraph_dedup.ROWS) ** paragraph_dedup.BANDS >= paragraph_dedup.RECALL
 
 
+def brute_passages(texts, least=0.75):
+    """Pairs of documents with a planted passage in both, by exact Jaccard of the passages."""
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    sets = [shingles(t) for t in texts]
+    return {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])}
+
+
+def test_substring_dedup_finds_edited_copies(spark):
+    rng = random.Random(16)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    for size, least in ((40, 0.75), (45, 0.85), (51, 0.93)):
+        texts, passages = [], []
+        for _ in range(150):
+            passage = fresh(size)
+            edited = passage[: size // 2] + fresh(1) + passage[size // 2 + 1 :]
+            for x in (passage, edited):
+                passages.append(x)
+                texts.append(" ".join(fresh(rng.randint(20, 60)) + x + fresh(rng.randint(20, 60))))
+        want = brute_passages(passages)
+        assert len(want) == 150
+        found = {r["doc_id"] for r in paragraph_dedup.repeats(docs(spark, texts)).collect()}
+        recall = sum(i in found and j in found for i, j in want) / len(want)
+        print(f"passages of {size} words, one edited: {recall:.3f}")
+        assert recall >= least
+
+
+def test_substring_dedup_finds_short_lines(spark):
+    rng = random.Random(17)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    lines = [fresh(n) for n in range(5, 20)]
+    texts = [f"{fresh(30)}\n{line}\n{fresh(30)}" for line in lines for _ in range(2)]
+    got = paragraph_dedup.repeats(docs(spark, texts)).collect()
+    assert {r["doc_id"] for r in got} == set(range(len(texts)))
+    for r in got:  # a paragraph at the threshold may hold a few words around the line
+        n = 5 + r["doc_id"] // 2
+        assert 26 <= r["start"] <= 30 and 30 + n <= r["start"] + r["n_words"] <= 34 + n
+        assert r["removed"] == (r["doc_id"] % 2 == 1)
+
+
 def test_cut_spans():
     assert paragraph_dedup._without_spans(" ".join(map(str, range(30))), [5]) == "0 1 2 3 4 25 26 27 28 29"
     assert paragraph_dedup._without_spans(" ".join(map(str, range(30))), [5, 9]) == "0 1 2 3 4 29"
