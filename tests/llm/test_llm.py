@@ -470,6 +470,26 @@ def test_substring_dedup_finds_short_lines(spark):
         assert r["removed"] == (r["doc_id"] % 2 == 1)
 
 
+def test_substring_dedup_within_a_document(spark):
+    rng = random.Random(18)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    passage, periodic = fresh(60), fresh(30)
+    texts = [" ".join(f"{fresh(25)} {passage}" for _ in range(200)), fresh(300), " ".join([periodic] * 50)]
+    got = paragraph_dedup.repeats(docs(spark, texts)).collect()
+    assert {r["doc_id"] for r in got} == {0, 2}
+    places = defaultdict(list)
+    for r in got:
+        places[r["component"]].append((r["doc_id"], r["start"], r["removed"]))
+    assert all([x[2] for x in sorted(p)] == [False] + [True] * (len(p) - 1) for p in places.values())
+    assert max(len(p) for p in places.values()) >= 200
+    cleaned = {r["doc_id"]: words(r["text"]) for r in paragraph_dedup.cut_repeats(docs(spark, texts)).collect()}
+    assert cleaned[1] == words(texts[1])
+    kept = Counter(cleaned[0])
+    assert all(kept[w] >= 1 for w in words(texts[0])) and sum(kept[w] == 1 for w in words(passage)) >= 40
+    assert len(words(texts[0])) == 200 * 85 and len(cleaned[0]) < 200 * 45
+    assert len(cleaned[2]) < 120
+
+
 def test_cut_spans():
     assert paragraph_dedup._without_spans(" ".join(map(str, range(30))), [5]) == "0 1 2 3 4 25 26 27 28 29"
     assert paragraph_dedup._without_spans(" ".join(map(str, range(30))), [5, 9]) == "0 1 2 3 4 29"
