@@ -176,16 +176,22 @@ def fuse(lanes: DataFrame, weights: Mapping[str, float] = WEIGHTS, limit: int =
     return met.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= max(6 * limit, 30)).select("query_id", "place", "id", "score", "lanes")
 
 
+def uses() -> Column:
+    """Whole-word uses of the column ``name`` in the column ``text``."""
+    return F.regexp_count(F.lower("text"), F.concat(F.lit(r"(?<![\w-])\Q"), F.lower("name"), F.lit(r"\E(?![\w-])")))
+
+
 def representative(refs: DataFrame) -> DataFrame:
     """Of the chunks of one text, the one to show it by: ``refs(query_id, id, ref_id, name, named, text, ...)``.
 
     By: named in the query, whole-word uses of the name in the text, shorter name, lower chunk id. Adds ``also_in``, the other names.
+    Where ``refs`` has ``uses`` already, ``text`` isn't needed: long texts then needn't be shuffled.
     """
-    uses = F.regexp_count(F.lower("text"), F.concat(F.lit(r"(?<![\w-])\Q"), F.lower("name"), F.lit(r"\E(?![\w-])")))
+    given = "uses" in refs.columns
     w = Window.partitionBy("query_id", "id")
     order = w.orderBy(F.col("named").desc(), F.col("uses").desc(), F.length("name"), "ref_id")
-    met = refs.withColumn("uses", uses).withColumn("r", F.row_number().over(order)).withColumn("names", F.array_sort(F.collect_set("name").over(w)))
-    return met.where("r = 1").withColumn("also_in", F.array_remove("names", F.col("name"))).drop("r", "names", "uses")
+    met = (refs if given else refs.withColumn("uses", uses())).withColumn("r", F.row_number().over(order)).withColumn("names", F.array_sort(F.collect_set("name").over(w)))
+    return met.where("r = 1").withColumn("also_in", F.array_remove("names", F.col("name"))).drop("r", "names", *([] if given else ["uses"]))
 
 
 def boosts(rows: DataFrame) -> DataFrame:

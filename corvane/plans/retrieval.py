@@ -301,6 +301,20 @@ def h17(spark, d):
     return R.representative(rows.where(F.col("name").rlike("^[A-Za-z]+$"))).select("query_id", "id", "ref_id", "name", "named")
 
 
+@query("h17_whole_texts", r"""with w as (select source as query_id, doc_id as id, lower(text) as low, string_split(text, chr(10)) as ls from documents), l as (select query_id, id, low, unnest(ls) as line, unnest(range(1, len(ls) + 1)) as ref_id from w),
+r as (select query_id, id, ref_id, split_part(line, ' ', 1) as name, ref_id % 10 = 0 as named, low from l where regexp_matches(split_part(line, ' ', 1), '^[A-Za-z]+$')),
+u as (select *, len(list_filter(regexp_extract_all(low, '[A-Za-z0-9_-]+'), lambda x: x = lower(name))) as uses from r), o as (select *, row_number() over (partition by query_id, id order by named desc, uses desc, length(name), ref_id) as x from u)
+select query_id, id, ref_id, name, named, uses from o where x = 1""")
+def h17_whole(spark, d):
+    """Of the first words of a text's lines, the one that names it best; uses are counted in the whole text, of all documents."""
+    lines = F.posexplode(F.split("text", "\n", -1)).alias("at", "line")
+    rows = T(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), "text", lines)
+    ref = (F.col("at") + 1).cast("bigint")
+    rows = rows.select("query_id", "id", ref.alias("ref_id"), F.split_part("line", F.lit(" "), F.lit(1)).alias("name"), (ref % 10 == 0).alias("named"), "text")
+    counted = rows.where(F.col("name").rlike("^[A-Za-z]+$")).withColumn("uses", R.uses().cast("bigint")).drop("text")
+    return R.representative(counted).select("query_id", "id", "ref_id", "name", "named", "uses")
+
+
 @query("h18_boosts", r"""with s as (select event_id, event_type, value, case event_id % 6 when 0 then 'overview' when 1 then 'nmap(1): description' when 2 then 'detection' when 3 then 'tool: see also' when 4 then 'examples' else 'options' end as section,
 case event_id % 4 when 0 then 'nmap' when 1 then 'how to detect it' when 2 then 'CVE-2021-44228' else 'option -x' end as query, case when event_id % 3 = 0 then '-x does it' when event_id % 3 = 1 then 'see' || chr(10) || '  -x does it' else 'none -x' end as text from events where event_id % 5 = 0)
 select event_id, round(round(value / 1000, 9) + case when query = 'nmap' and section = 'overview' then 0.3 when query = 'nmap' and section like '%: description' then 0.1 else 0 end

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corvane import catalog
 from corvane.functions import embedders, text, trigram, vectors
 from corvane.operators import dml, faults, hnsw, knn, procedures, retrieval, sampling
 from corvane.operators.store import Conflict, Store
@@ -197,3 +198,11 @@ def test_readers(spark, tmp_path):
 def test_boost_for_definitions(spark):
     rows = spark.createDataFrame([("-x", "options", "-x does", 0.0, False), ("-x", "options", "a\n -x does", 0.0, False), ("-x", "see also", "none", 0.0, False)], "query string, section string, text string, score double, name_query boolean")
     assert [r["score"] for r in retrieval.boosts(rows).collect()] == [0.2, 0.1, -1.0]
+
+
+def test_representative_counts_uses_in_the_whole_text(spark, tmp_path):
+    text = "ls lists\nvdir is like dir and vdir\ndir: see vdir, not vdir-x\n"
+    rows = [(i, text if i % 400 else "dir one\nvdir two dir\n", "en", "s") for i in (0, 1, 299, 300, 5000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["id"]: (r["name"], r["uses"]) for r in catalog.queries()["h17_whole_texts"](spark, str(tmp_path)).collect()}
+    assert got == {0: ("dir", 2), 1: ("vdir", 3), 299: ("vdir", 3), 300: ("vdir", 3), 5000: ("vdir", 3)}
