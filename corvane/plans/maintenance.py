@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from corvane.catalog import query
+from corvane.catalog import query, whole_sql
 from corvane.functions import embedders
 from corvane.functions import vectors as V
 from corvane.operators import dml, faults, health, hnsw, knn, procedures, sampling
@@ -214,6 +214,19 @@ def p1(spark, d):
     return a.unionByName(l2.agg(F.lit("links").alias("name"), F.count("*").alias("n"), F.sum(F.col("src") * 100 + F.col("dst")).cast("string").alias("detail")))
 
 
+@query("p1_merge_entities_whole", whole_sql("p1_merge_entities", " where s_suppkey < 30 and c_custkey < 8"))
+def p1_whole(spark, d):
+    n = T(spark, d, "nation")
+    e = n.select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"), F.array(F.lower("n_name")).alias("aliases"))
+    s = T(spark, d, "supplier").select(F.col("s_nationkey").cast("bigint").alias("src"), F.lit(1).alias("j")).distinct()
+    c = T(spark, d, "customer").select(F.col("c_nationkey").cast("bigint").alias("dst"), F.lit(1).alias("j")).distinct()
+    links = s.join(F.broadcast(c), "j").select("src", "dst", F.lit("trades").alias("rel")).distinct()
+    chunks = T(spark, d, "customer").select(F.col("c_nationkey").cast("bigint").alias("entity_id"))
+    e2, _, l2 = procedures.merge_entities(e, chunks, links, 3, 4)
+    a = e2.agg(F.lit("entities").alias("name"), F.count("*").alias("n"), F.max(F.when(F.col("id") == 4, F.array_join("aliases", ","))).alias("detail"))
+    return a.unionByName(l2.agg(F.lit("links").alias("name"), F.count("*").alias("n"), F.sum(F.col("src") * 100 + F.col("dst")).cast("string").alias("detail")))
+
+
 @query("p2_audit_rows", """select 'supplier' as table_name, s_suppkey as row_id, 'UPDATE' as action, 'ann' as actor from supplier where s_suppkey % 9 = 0 and s_suppkey % 10 <> 0 union all select 'supplier', s_suppkey, 'DELETE', 'ann' from supplier where s_suppkey % 10 = 0""")
 def p2(spark, d):
     s = T(spark, d, "supplier").select("s_suppkey", "s_name")
@@ -236,6 +249,14 @@ def p4(spark, d):
     return T(spark, d, "events").where("event_id % 10 = 0").select("event_id", procedures.changed_keys(old, new).alias("keys"))
 
 
+@query("p4_changed_keys_whole", whole_sql("p4_changed_keys", " where event_id % 10 = 0"))
+def p4_whole(spark, d):
+    i = F.col("event_id")
+    old = F.to_json(F.struct(F.lit(1).alias("k"), i.alias("v")))
+    new = F.to_json(F.struct(F.when(i % 3 == 1, 2).otherwise(1).alias("k"), F.when(i % 3 == 2, i).otherwise(i + 1).alias("v")))
+    return T(spark, d, "events").select("event_id", procedures.changed_keys(old, new).alias("keys"))
+
+
 @query("p5_roles", "select c_custkey, case c_custkey % 4 when 0 then 'viewer' when 1 then 'editor' when 2 then 'admin' else 'guest' end as role, c_custkey % 4 in (1, 2) as may_edit, c_custkey % 4 = 2 as may_admin from customer")
 def p5(spark, d):
     role = F.element_at(F.array(*map(F.lit, ("viewer", "editor", "admin", "guest"))), (F.col("c_custkey") % 4 + 1).cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corvane.catalog import query
+from corvane.catalog import query, whole_sql
 from corvane.operators import sampling
 from corvane.plans.common import table as T
 
@@ -224,6 +224,12 @@ def j17(spark, d):
     return b.join(T(spark, d, "documents"), "doc_id").select("user_id", "doc_id", "source", F.md5("text").alias("body_hash"))
 
 
+@query("j17_bookmarks_whole", whole_sql("j17_bookmarks", " where user_id % 10 = 3"))
+def j17_whole(spark, d):
+    b = T(spark, d, "events").where("event_type = 'click'").select("user_id", (F.col("event_id") % 500).alias("doc_id")).distinct()
+    return b.join(T(spark, d, "documents"), "doc_id").select("user_id", "doc_id", "source", F.md5("text").alias("body_hash"))
+
+
 # -- aggregates -----------------------------------------------------------------------------------------
 
 @query("a1_count_by_key", "select source, lang, count(*) as n from documents group by source, lang order by n desc, source, lang")

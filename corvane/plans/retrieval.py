@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corvane.catalog import query
+from corvane.catalog import query, whole_sql
 from corvane.functions import text as X
 from corvane.functions import trigram
 from corvane.operators import retrieval as R
@@ -85,6 +85,12 @@ def t10(spark, d):
     return e.select("event_id", F.to_date("ts").alias("day"), (F.col("ts") + F.expr("interval 36 hours")).alias("later"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("bigint").alias("age"))
 
 
+@query("t10_dates_whole", whole_sql("t10_dates", " where event_id % 10 = 0"))
+def t10_whole(spark, d):
+    e = T(spark, d, "events")
+    return e.select("event_id", F.to_date("ts").alias("day"), (F.col("ts") + F.expr("interval 36 hours")).alias("later"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("bigint").alias("age"))
+
+
 @query("t11_math", "select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as net, l_orderkey % 13 as rest, least(l_quantity, 20.0) as capped, ceil(l_quantity / 7)::bigint as packs, round_even(l_quantity / 2, 0) as half from lineitem where l_orderkey % 20 = 0")
 def t11(spark, d):
     q = F.col("l_quantity")
@@ -93,6 +99,14 @@ def t11(spark, d):
         F.least(q, F.lit(20.0)).alias("capped"), F.ceil(q / 7).cast("bigint").alias("packs"), F.rint(q / 2).alias("half"))
 
 
+@query("t11_math_whole", whole_sql("t11_math", " where l_orderkey % 20 = 0"))
+def t11_whole(spark, d):
+    q = F.col("l_quantity")
+    return T(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("net"), (F.col("l_orderkey") % 13).alias("rest"),
+        F.least(q, F.lit(20.0)).alias("capped"), F.ceil(q / 7).cast("bigint").alias("packs"), F.rint(q / 2).alias("half"))
+
+
 @query("t13_split_by_hash", "select p_partkey, case when ('0x' || right(md5(p_name || p_partkey), 1))::int % 2 = 0 then 'dev' else 'test' end as part from part")
 def t13(spark, d):
     digit = F.conv(F.right(F.md5(F.concat("p_name", F.col("p_partkey").cast("string"))), F.lit(1)), 16, 10).cast("int")
@@ -329,6 +343,16 @@ def h18(spark, d):
     return R.boosts(rows.withColumn("name_query", F.col("query") == "nmap")).select("event_id", "score")
 
 
+@query("h18_boosts_whole", whole_sql("h18_boosts", " where event_id % 5 = 0"))
+def h18_whole(spark, d):
+    i = F.col("event_id")
+    pick = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (i % n + 1).cast("int"))
+    rows = T(spark, d, "events").select(
+        "event_id", F.round(F.col("value") / 1000, 9).alias("score"), pick(6, "overview", "nmap(1): description", "detection", "tool: see also", "examples", "options").alias("section"),
+        pick(4, "nmap", "how to detect it", "CVE-2021-44228", "option -x").alias("query"), pick(3, "-x does it", "see\n  -x does it", "none -x").alias("text"))
+    return R.boosts(rows.withColumn("name_query", F.col("query") == "nmap")).select("event_id", "score")
+
+
 @query("a15_hits_mrr", f"""with {_LANES}, {_FUSED}, rel as (select source as query_id, doc_id as id from documents where doc_id % 13 = 0), f as (select query_id, min(place) as first from placed join rel using (query_id, id) where place <= 30 group by query_id),
 e as (select distinct query_id from rel) select count(*) as queries, round(avg((coalesce(first, 99) <= 1)::int), 6) as hit1, round(avg((coalesce(first, 99) <= 5)::int), 6) as hit5, round(avg((coalesce(first, 99) <= 10)::int), 6) as hit10,
 round(avg(case when first <= 10 then 1.0::double / first else 0 end), 6) as mrr from e left join f using (query_id)""")
@@ -368,6 +392,13 @@ def h26(spark, d):
     return R.query_terms(q).join(p, "word").groupBy("query_id", "id").agg(F.count("*").alias("n"))
 
 
+@query("h26_lexical_baseline_whole", whole_sql("h26_lexical_baseline", " where item_id < 10"))
+def h26_whole(spark, d):
+    q = T(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    p = T(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(F.array_distinct(X.words(F.concat("p_name", F.lit(" "), "p_type")))).alias("word"))
+    return R.query_terms(q).join(p, "word").groupBy("query_id", "id").agg(F.count("*").alias("n"))
+
+
 @query("h23_topic_page", """select source as name, lang as section, count(*) as chunks, list(doc_id order by doc_id) as ids from (select * from documents where source = 'src3' order by doc_id limit 600) group by source, lang""")
 def h23(spark, d):
     rows = T(spark, d, "documents").where("source = 'src3'").orderBy("doc_id").limit(600)
