@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +23,17 @@ def words(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Only where both are unset and the master is local, as in tests, one is made; on a cluster that's an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
         known = spark.sparkContext.getCheckpointDir()
     return known
@@ -40,6 +50,31 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+def release() -> None:
+    """Give memory that a Python worker has freed back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc(), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+@lru_cache(1)
+def _libc():
+    return ctypes.CDLL(None)
+
+
+def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``f`` for mapInArrow, with ``release`` at the end of each task."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor costs no recomputation of them."""
 
@@ -57,12 +92,13 @@ class Scratch:
         out._corvane_path = path
         return out
 
-    def drop(self, df: DataFrame | None) -> None:
-        """Delete a table of ``save`` that nothing reads any more."""
-        path = getattr(df, "_corvane_path", None)
-        if path:
-            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables of ``save`` that nothing reads any more."""
+        for df in tables:
+            path = getattr(df, "_corvane_path", None)
+            if path:
+                target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

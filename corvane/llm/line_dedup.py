@@ -8,8 +8,11 @@ partners, the positional filter bounds the overlap that is still possible, and a
 difference from below. What passes is verified on the full sets. A line is removed if an earlier one, by
 (doc_id, line number), matches it.
 
-One match is enough to remove a line, so of each word's partners only the BEST nearest by parity are verified at
-first; lines with more partners and none verified are compared with all of theirs in a second pass, so no match is lost.
+One match is enough to remove a line, so of each word's partners only BEST are verified at first; lines with more
+partners and none verified are compared again for more of them, until none is left, so no match is lost. The rows
+of a frequent word are dealt out by their line into units of about UNIT rows, which are compared each in itself at first; lines that
+found no match there are then sent to all units of the word. So many lines of one template, most of which have a match in
+their own unit, cost work in proportion to their number.
 """
 
 from __future__ import annotations
@@ -19,20 +22,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, bounded_batches
+from corvane.llm.common import Scratch, bounded_batches, tidy
 from corvane.llm.sets import BROADCAST_ROWS, Bits, mixed
 from corvane.llm.words import hashed, pieces
 
 #: Jaccard, as a fraction of integers.
 NUM, DEN = 4, 5
 RARITY = 1 << 19
-BEST = 4
+BEST, UNIT = 4, 2048
 _PART = 1 << 12
-#: A row of a prefix is one value: 32 bits of the word, 20 of the set's size, 12 of the place. Sets of a million words count
-#: as of that size; the positional filter passes over places from LAST_PLACE on.
-MOST_WORDS, LAST_PLACE = (1 << 20) - 1, (1 << 12) - 1
-#: A word is known by this many bits of its hash; its class of rarity stands before them.
-BITS, CLASSES = 42, 64
+#: Classes of rarity: steps of the logarithm to the base 2 of a word's count.
+CLASSES, STEPS = 64, 1.5
+#: A row of a prefix is one value: 32 bits of the word, 16 of the set's size, 10 of the place, 6 of the class. Larger sets count
+#: as of MOST_WORDS; the positional filter passes over places from LAST_PLACE on.
+MOST_WORDS, LAST_PLACE = (1 << 16) - 1, (1 << 10) - 1
+#: Words of a line are ordered by their class and this many bits of their hash.
+BITS = 42
+#: Rows that are compared at once, at least; neighbours of a row, by size, that are compared with it before the others.
+AT_ONCE, NEIGHBOURS = 20_000, 64
+
+
 def _pieces(batches):
     """Of some documents at a time: hash and line of each word, the lines' documents and numbers. Lines without words are left out."""
     for ids, at, text in pieces(batches):
@@ -58,11 +67,11 @@ def _rarity(texts: DataFrame) -> np.ndarray:
         total = np.sum([np.frombuffer(x, np.int64) for x in table["n"].to_pylist()], axis=0)
         return pa.table({"part": table["part"][:1], "n": pa.array([total.tobytes()], pa.binary())})
 
-    got = texts.mapInArrow(count, "part bigint, n binary").groupBy("part").applyInArrow(add, "part bigint, n binary").toArrow()
+    got = texts.mapInArrow(tidy(count), "part bigint, n binary").groupBy("part").applyInArrow(add, "part bigint, n binary").toArrow()
     out = np.zeros(RARITY, np.int64)
     for p, n in zip(got["part"].to_pylist(), got["n"].to_pylist(), strict=True):
         out[p * _PART : (p + 1) * _PART] = np.frombuffer(n, np.int64)
-    return np.minimum(2 * np.log2(out + 1), CLASSES - 1).astype(np.uint8)
+    return np.minimum(STEPS * np.log2(out + 1), CLASSES - 1).astype(np.uint8)
 
 
 def prefix_length(n):
@@ -72,18 +81,18 @@ def prefix_length(n):
 
 def _lines(piece, rarity: np.ndarray) -> pa.RecordBatch:
     h, line, doc, number = piece
-    word = (rarity[(h & np.uint64(RARITY - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(BITS)) | (h >> np.uint64(64 - BITS))
-    if len(doc) <= 1 << 16:  # line, class and hash in one value, that sorts at once
-        key = np.sort((line.astype(np.uint64) << np.uint64(48)) | word)
-        line, word = (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1)
+    kind = rarity[(h & np.uint64(RARITY - 1)).astype(np.int64)].astype(np.uint64)
+    word = (kind << np.uint64(BITS)) | (h >> np.uint64(64 - BITS))
+    if len(doc) <= 1 << 16:  # line, class and hash in one value
+        order = np.argsort((line.astype(np.uint64) << np.uint64(48)) | word)
     else:
         order = np.lexsort((word, line))
-        line, word = line[order], word[order]
+    line, word, h, kind = line[order], word[order], h[order], kind[order]
     new = np.concatenate([[True], (word[1:] != word[:-1]) | (line[1:] != line[:-1])]) if len(line) else np.empty(0, bool)
-    line, word = line[new], word[new]
+    line, word, h, kind = line[new], word[new], h[new], kind[new]
     n = np.bincount(line, minlength=len(doc))
     start = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
-    one, two = mixed(word), mixed(word ^ np.uint64(0xD1B54A32D192ED03))
+    one, two = mixed(h ^ np.uint64(0x8CB92BA72F3D8DD7)), mixed(h ^ np.uint64(0xD1B54A32D192ED03))
     bit = one & np.uint64(127)
     power = np.uint64(1) << (bit & np.uint64(63))
     low, high = np.where(bit < 64, power, np.uint64(0)), np.where(bit < 64, np.uint64(0), power)
@@ -91,7 +100,7 @@ def _lines(piece, rarity: np.ndarray) -> pa.RecordBatch:
     place = np.arange(len(line)) - start[line]
     in_prefix = place < shown[line]
     size = np.minimum(n, MOST_WORDS).astype(np.uint64)[line[in_prefix]]
-    packed = (word[in_prefix] << np.uint64(32)) | (size << np.uint64(12)) | np.minimum(place[in_prefix], LAST_PLACE).astype(np.uint64)
+    packed = (word[in_prefix] << np.uint64(32)) | (size << np.uint64(16)) | (np.minimum(place[in_prefix], LAST_PLACE).astype(np.uint64) << np.uint64(6)) | kind[in_prefix]
     prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(shown)]).astype(np.int32)), pa.array(packed.view(np.int64)))
     by_line = lambda f, x: pa.array((f.reduceat(x, start) if len(start) else x).view(np.int64))
     return pa.RecordBatch.from_arrays(
@@ -103,89 +112,164 @@ def _lines(piece, rarity: np.ndarray) -> pa.RecordBatch:
     )
 
 
-#: Rows of one word that a task holds before it compares them and drops those too small for what follows.
-HELD = 250_000
+#: Of a packed row: its word; how many units the word's rows are dealt out to.
+TOKEN = "shiftright(key, 32)"
+UNITS = f"cast(ceil(pow(2, (key & {CLASSES - 1}) / {STEPS}) / {{unit}}) as bigint)"
+OWN_UNIT = f"pmod(xxhash64(doc, line), {UNITS})"
 
 
-#: Rows that are compared at once, at least.
-AT_ONCE = 20_000
+def _size(key):
+    return (key >> 16) & MOST_WORDS
+
 
+def _place_of(key):
+    return (key >> 6) & LAST_PLACE
 
-def _gathered(batches):
+
+def _gathered(batches, columns: int):
     """The columns of as many batches as have AT_ONCE rows together."""
     got: list[pa.RecordBatch] = []
     for b in batches:
         if b.num_rows:
             got.append(b)
         if sum(x.num_rows for x in got) >= AT_ONCE:
-            yield [np.concatenate([x.column(k).to_numpy() for x in got]) for k in range(5)]
+            yield [np.concatenate([x.column(k).to_numpy() for x in got]) for k in range(columns)]
             got = []
     if got:
-        yield [np.concatenate([x.column(k).to_numpy() for x in got]) for k in range(5)]
+        yield [np.concatenate([x.column(k).to_numpy() for x in got]) for k in range(columns)]
 
 
-def _near(batches):
-    """Of the rows of each word, sorted by (word, size): the partners of each later line that pass the filters."""
+def _whole_units(batches, columns: int):
+    """Sorted rows ``(unit, key, ...)``: no unit of a word is in two of what is returned."""
     held: list[np.ndarray] | None = None
-    for new in _gathered(batches):
-        rows = new if held is None else [np.concatenate([x, y]) for x, y in zip(held, new, strict=True)]
-        cut = int(np.searchsorted(rows[0], (rows[0][-1] >> 32) << 32))  # the last word may go on
-        yield _partners([x[:cut] for x in rows])
+    for rows in _gathered(batches, columns):
+        if held is not None:
+            rows = [np.concatenate([x, y]) for x, y in zip(held, rows, strict=True)]
+        last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] >> 32 != rows[1][-1] >> 32))
+        cut = last[-1] + 1 if len(last) else 0
+        if cut:
+            yield [x[:cut] for x in rows]
         held = [x[cut:] for x in rows]
-        if len(held[0]) > HELD:
-            yield _partners(held)
-            far = DEN * _size(held[0]) >= NUM * int(_size(held[0][-1]))
-            held = [x[far] for x in held]
     if held is not None:
-        yield _partners(held)
+        yield held
 
 
-def _size(key):
-    return (key >> 12) & MOST_WORDS
+class _Found:
+    """Up to ``best`` partners of each row, and how many it has, up to one more."""
+
+    def __init__(self, n: int, best: int):
+        self.best, self.n = best, np.zeros(n, np.int64)
+        self.of = np.full((n, best), -1, np.int64)
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Rows ``x``, each once, with a partner each."""
+        n = self.n[x]
+        fits = n < self.best
+        self.of[x[fits], n[fits]] = y[fits]
+        self.n[x] = np.minimum(n + 1, self.best + 1)
+
+    def open(self, x: np.ndarray) -> np.ndarray:
+        return self.n[x] <= self.best
+
+
+def _passes(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Whether rows ``(size, place, p0, p1)`` pass the length, parity and positional filters with their counterparts."""
+    both = x[0] + y[0]
+    need = (NUM * both + NUM + DEN - 1) // (NUM + DEN)  # the least overlap at this Jaccard
+    large = np.maximum(x[0], y[0]) == MOST_WORDS
+    fits = DEN * np.minimum(x[0], y[0]) >= NUM * np.maximum(x[0], y[0])
+    differ = np.bitwise_count(x[2] ^ y[2]).astype(np.int64) + np.bitwise_count(x[3] ^ y[3])
+    far = np.maximum(x[1], y[1]) == LAST_PLACE
+    return fits & (large | (differ <= both - 2 * need)) & (far | large | (np.minimum(x[0] - x[1], y[0] - y[1]) + np.minimum(x[1], y[1]) >= need))
+
+
+def _within(best: int, unit: int):
+    """Of the rows of each unit, sorted by (unit, word, size): partners of each later line that pass the filters."""
 
+    def run(batches):
+        for rows in _whole_units(batches, 6):
+            edges = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1], [True]]))
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                yield _partners([x[s:e] for x in rows[1:]], best, unit)
 
-def _partners(rows: list[np.ndarray]) -> pa.RecordBatch:
+    return tidy(run)
+
+
+def _partners(rows: list[np.ndarray], best: int, unit: int) -> pa.RecordBatch:
     key, p0, p1, doc, line = rows
-    xs: list[np.ndarray] = []
-    ys: list[np.ndarray] = []
-    ds: list[np.ndarray] = []
-    if len(key):
-        n, pos = _size(key), key & LAST_PLACE
-        first = np.searchsorted(key, ((key >> 32) << 32) | ((NUM * n + DEN - 1) // DEN << 12))
-        reach = np.arange(len(key)) - first
-        p0, p1 = p0.view(np.uint64), p1.view(np.uint64)
-        i = np.flatnonzero(reach >= 1)
-        d = 1
-        while len(i):
-            j = i - d
-            both = n[i] + n[j]
-            need = (NUM * both + NUM + DEN - 1) // (NUM + DEN)  # the least overlap at this Jaccard
-            differ = np.bitwise_count(p0[i] ^ p0[j]).astype(np.int64) + np.bitwise_count(p1[i] ^ p1[j])
-            far = (pos[i] == LAST_PLACE) | (pos[j] == LAST_PLACE)
-            ok = (differ <= both - 2 * need) & (far | (np.minimum(n[i] - pos[i], n[j] - pos[j]) + np.minimum(pos[i], pos[j]) >= need))
-            if ok.any():
-                a, c = i[ok], j[ok]
-                later = (doc[a] > doc[c]) | ((doc[a] == doc[c]) & (line[a] > line[c]))
-                xs.append(np.where(later, a, c))
-                ys.append(np.where(later, c, a))
-                ds.append(differ[ok])
-            d += 1
-            i = i[reach[i] >= d]
-    if xs:
-        x, y, differ = np.concatenate(xs), np.concatenate(ys), np.concatenate(ds)
-        order = np.lexsort((y, differ, x))
-        x, y = x[order], y[order]
-        new = np.concatenate([[True], x[1:] != x[:-1]])
-        place = np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-        more = np.bincount(x, minlength=len(key))[x] > BEST
-        keep = place < BEST
-        x, y, more = x[keep], y[keep], more[keep]
-    else:
-        x = y = np.empty(0, np.int64)
-        more = np.empty(0, bool)
+    n, fields = _size(key), [_size(key), _place_of(key), p0.view(np.uint64), p1.view(np.uint64)]
+    take = lambda i: [f[i] for f in fields]
+    order = np.lexsort((line, doc))
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.concatenate([[True], (doc[order][1:] != doc[order][:-1]) | (line[order][1:] != line[order][:-1])]))
+    found = _Found(len(key), best)
+    least = (NUM * n + DEN - 1) // DEN
+    first = np.maximum.accumulate(np.searchsorted(key, ((key >> 32) << 32) | (least << 16)))
+    at = np.arange(len(key))
+    i = at[at > first]
+    for d in range(1, NEIGHBOURS + 1):
+        if not len(i):
+            break
+        j = i - d
+        later = rank[i] > rank[j]
+        x, y = np.where(later, i, j), np.where(later, j, i)
+        some = np.flatnonzero(found.open(x) & (rank[x] != rank[y]))
+        some = some[_passes(take(x[some]), take(y[some]))]
+        for role in (later[some], ~later[some]):
+            found.add(x[some[role]], y[some[role]])
+        i = i[i - first[i] > d]
+    last = np.searchsorted(first, at, "right") - 1
+    rest = np.flatnonzero(found.open(at) & ((at - first > NEIGHBOURS) | (last - at > NEIGHBOURS)))
+    for x in rest:
+        y = np.concatenate([np.arange(first[x], max(first[x], x - NEIGHBOURS)), np.arange(x + NEIGHBOURS + 1, last[x] + 1)])
+        y = y[rank[y] < rank[x]]
+        for z in y[_passes([f[x] for f in fields], take(y))][: best + 1]:
+            found.add(np.array([x]), np.array([z]))
+    x, c = np.nonzero(found.of >= 0)
+    y = found.of[x, c]
+    split = 2 ** ((key & (CLASSES - 1)) / STEPS) > unit
+    # A line of which the word's other units may hold a match is named along with itself.
+    alone = np.flatnonzero(split & (found.n == 0))
+    x, y = np.concatenate([x, alone]), np.concatenate([y, alone])
+    more = (found.n[x] > best) | split[x]
     return pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(line[x]), pa.array(doc[y]), pa.array(line[y]), pa.array(more)], names=["xd", "xl", "yd", "yl", "more"])
 
 
+def _across(best: int):
+    """Of the rows of each unit, sorted by (unit, word, side): partners in side 0, all of a unit of a word, of each row of side 1."""
+
+    def run(batches):
+        held: list[np.ndarray] | None = None
+        for rows in _gathered(batches, 7):
+            edges = np.flatnonzero(np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] >> 32 != rows[1][:-1] >> 32), [True]]))
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                part = [x[s:e] for x in rows]
+                cut = int(np.searchsorted(part[2], 1))
+                own = [x[:cut] for x in part]
+                if held is not None and held[0][0] == part[0][0] and held[1][0] >> 32 == part[1][0] >> 32:
+                    held = [np.concatenate([x, y]) for x, y in zip(held, own, strict=True)]
+                else:
+                    held = own if cut else None
+                if held is not None and cut < e - s:
+                    yield _earlier([x[cut:] for x in part], held, best)
+
+    return tidy(run)
+
+
+def _earlier(xs: list[np.ndarray], ys: list[np.ndarray], best: int) -> pa.RecordBatch:
+    split = lambda r: [_size(r[1]), _place_of(r[1]), r[3].view(np.uint64), r[4].view(np.uint64)]
+    fx, fy = split(xs), split(ys)
+    at, to, more = [], [], []
+    for i in range(len(xs[0])):
+        earlier = (ys[5] < xs[5][i]) | ((ys[5] == xs[5][i]) & (ys[6] < xs[6][i]))
+        y = np.flatnonzero(earlier & _passes([f[i] for f in fx], fy))
+        at += [i] * len(y[:best])
+        to += y[:best].tolist()
+        more += [len(y) > best] * len(y[:best])
+    at, to = np.array(at, np.int64), np.array(to, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(xs[5][at]), pa.array(xs[6][at]), pa.array(ys[5][to]), pa.array(ys[6][to]), pa.array(more, pa.bool_())], names=["xd", "xl", "yd", "yl", "more"])
+
+
 #: Stands for a document as such, in the place of a line number.
 WHOLE = -1
 
@@ -194,9 +278,36 @@ def _place(doc, line):
     return mixed(mixed(np.asarray(doc).astype(np.int64).view(np.uint64)) + np.asarray(line).astype(np.int64).view(np.uint64))
 
 
+def _sets(batches, wanted):
+    """The sets of the lines of a piece that ``wanted(documents, line numbers)`` holds for."""
+
+    def of(piece):
+        h, line, doc, number = piece
+        hit = wanted(doc, number)
+        if not hit.any():
+            return None
+        mine = hit[line]
+        h, line = h[mine], line[mine]
+        order = np.lexsort((h, line))
+        h, line = h[order], line[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])
+        h, line = h[new], line[new]
+        ends = np.cumsum(np.concatenate([[0], np.bincount(line, minlength=len(doc))[hit]]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc[hit], pa.int64()), pa.array(number[hit].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))],
+            names=["d", "l", "w"],
+        )
+
+    return (x for x in map(of, _pieces(batches)) if x is not None)
+
+
+#: Lines up to which the ones to verify are told apart by a filter; more of them are told by a join.
+MOST_FILTERED = Bits.MOST // 16
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Those of ``pairs(xd, xl, yd, yl, ...)`` whose lines match, by the full sets."""
-    ends = pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("yd", "yl")).distinct()
+    """``(xd, xl)`` of those of ``pairs(xd, xl, yd, yl, ...)`` whose lines match, by the full sets."""
+    ends = scratch.save(pairs.select(F.col("xd").alias("d"), F.col("xl").alias("l")).union(pairs.select("yd", "yl")).distinct())
 
     def placed(batches):
         for b in batches:
@@ -204,42 +315,37 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame
             for h in (_place(docs, lines), np.unique(_place(docs, np.full(len(docs), WHOLE)))):
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
-    wanted = texts.sparkSession.sparkContext.broadcast(Bits.of(ends.mapInArrow(placed, "h bigint"), scratch))  # of bounded size
+    kind = "d bigint, l int, w array<bigint>"
+    if ends.count() <= MOST_FILTERED:
+        filter_ = Bits.of(ends.mapInArrow(placed, "h bigint"), scratch)
+        wanted = texts.sparkSession.sparkContext.broadcast(filter_)  # of bounded size
 
-    def sets(batches):
         def some(batches):
             for b in batches:  # documents without any of the lines aren't even cut
                 ids = b.column(0).to_numpy(zero_copy_only=False)
                 yield b.filter(pa.array(wanted.value.has(_place(ids, np.full(len(ids), WHOLE)))))
 
-        for h, line, doc, number in _pieces(some(batches)):
-            hit = wanted.value.has(_place(doc, number))
-            if not hit.any():
-                continue
-            mine = hit[line]
-            h, line = h[mine], line[mine]
-            order = np.lexsort((h, line))
-            h, line = h[order], line[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])
-            h, line = h[new], line[new]
-            ends = np.cumsum(np.concatenate([[0], np.bincount(line, minlength=len(doc))[hit]]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[hit], pa.int64()), pa.array(number[hit].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))],
-                names=["d", "l", "w"],
-            )
-
-    full = scratch.save(texts.mapInArrow(sets, "d bigint, l int, w array<bigint>"))
+        sets = lambda batches: _sets(some(batches), lambda doc, number: wanted.value.has(_place(doc, number)))
+        full = texts.mapInArrow(tidy(sets), kind)
+    else:
+        sets = lambda batches: _sets(batches, lambda doc, number: np.ones(len(doc), bool))
+        full = texts.join(ends.select(F.col("d").alias("id")).distinct(), "id", "left_semi").mapInArrow(tidy(sets), kind)
+        full = full.join(ends, ["d", "l"], "left_semi")
+    full = scratch.save(full)
     x = full.select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("w").alias("xw"))
     y = full.select(F.col("d").alias("yd"), F.col("l").alias("yl"), F.col("w").alias("yw"))
     both = pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"]).withColumn("shared", F.size(F.array_intersect("xw", "yw")))
-    return both.where(f"{DEN} * shared >= {NUM} * (size(xw) + size(yw) - shared)").select("xd", "xl").distinct()
+    matched = scratch.save(both.where(f"{DEN} * shared >= {NUM} * (size(xw) + size(yw) - shared)").select("xd", "xl").distinct())
+    scratch.drop(ends, full)
+    return matched
 
 
 def kept_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, kept)``: the numbers (from 0) of the lines with words that stay, for documents that have any.
 
     Lines are cut at line feeds; words are ASCII-lower-cased runs of anything but ASCII white space. Null texts and null
-    ids have no lines here. Rows with the same id are one document. An empty table gives an empty one.
+    ids have no lines here. Rows with the same id are one document, in which lines of one number are one place. An empty
+    table gives an empty one. Words are known by 64 bits of their hash, sets of words by 128.
     """
     bounded_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession)
@@ -250,29 +356,38 @@ def kept_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         for piece in _pieces(batches):
             yield _lines(piece, rarity.value)
 
-    lines = texts.mapInArrow(cut, "doc bigint, line int, s1 bigint, s2 bigint, n int, p0 bigint, p1 bigint, prefix array<bigint>")
+    lines = texts.mapInArrow(tidy(cut), "doc bigint, line int, s1 bigint, s2 bigint, n int, p0 bigint, p1 bigint, prefix array<bigint>")
     first = lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line", "n", "p0", "p1", "prefix")).alias("f"))
     classes = scratch.save(first.select("f.*"))
     shown = classes.where("size(prefix) > 0").select(F.explode("prefix").alias("key"), "p0", "p1", "doc", "line")
-    near = shown.repartition(F.shiftright("key", 32)).sortWithinPartitions("key").mapInArrow(_near, "xd bigint, xl int, yd bigint, yl int, more boolean")
+    units, own = F.expr(UNITS.format(unit=UNIT)), F.expr(OWN_UNIT.format(unit=UNIT))
+    pair = "xd bigint, xl int, yd bigint, yl int, more boolean"
+    near = shown.repartition(F.expr(TOKEN), own).select(own.alias("unit"), "key", "p0", "p1", "doc", "line").sortWithinPartitions("unit", "key").mapInArrow(_within(BEST, UNIT), pair)
     near = scratch.save(near)
-    pairs = near.groupBy("xd", "xl", "yd", "yl").agg(F.max("more").alias("more"))
-    matched = scratch.save(_verified(pairs, texts, scratch))
-    left = scratch.save(near.where("more").select("xd", "xl").distinct().join(matched, ["xd", "xl"], "left_anti"))
-    if not left.isEmpty():
-        # All partners of the lines whose nearest ones didn't match.
+    gone, best = None, BEST
+    while True:
+        pairs = near.where("xd <> yd or xl <> yl").select("xd", "xl", "yd", "yl").distinct()
+        matched = _verified(pairs, texts, scratch)
+        left = near.where("more").select("xd", "xl").distinct().join(matched, ["xd", "xl"], "left_anti")
+        left = scratch.save(left)
+        gone = matched if gone is None else gone.unionByName(matched)
+        scratch.drop(near)
+        if left.isEmpty():
+            break
+        # The partners in all units of the lines whose first ones didn't match, more of them each time.
+        best *= 8
         few = left.count() <= BROADCAST_ROWS
         mine = shown.join(F.broadcast(left) if few else left, (F.col("doc") == F.col("xd")) & (F.col("line") == F.col("xl")), "left_semi")
-        part = {"token": "shiftright(key, 32)", "n": f"cast(shiftright(key, 12) & {MOST_WORDS} as int)", "pos": f"cast(key & {LAST_PLACE} as int)"}
-        unpacked = lambda df: df.select(*[F.expr(v).alias(k) for k, v in part.items()], "p0", "p1", "doc", "line")
-        x = scratch.save(unpacked(mine).select("token", *[F.col(c).alias(f"x_{c}") for c in ("n", "pos", "p0", "p1", "doc", "line")]))
-        every = unpacked(shown).join(F.broadcast(x) if x.count() <= BROADCAST_ROWS else x, "token").where("(doc < x_doc or (doc = x_doc and line < x_line))")
-        every = every.withColumn("need", F.expr(f"({NUM} * (n + x_n) + {NUM + DEN - 1}) div {NUM + DEN}"))
-        every = every.where(f"{DEN} * least(n, x_n) >= {NUM} * greatest(n, x_n) and bit_count(p0 ^ x_p0) + bit_count(p1 ^ x_p1) <= n + x_n - 2 * need")
-        every = every.where(f"greatest(pos, x_pos) = {LAST_PLACE} or least(n - pos, x_n - x_pos) + least(pos, x_pos) >= need")
-        every = scratch.save(every.select(F.col("x_doc").alias("xd"), F.col("x_line").alias("xl"), F.col("doc").alias("yd"), F.col("line").alias("yl")).distinct())
-        matched = matched.unionByName(_verified(every, texts, scratch)).distinct()
-    gone = matched.select(F.col("xd").alias("doc"), F.col("xl").alias("line"))
+        mine = scratch.save(mine.withColumn("token", F.expr(TOKEN)))
+        tokens = scratch.save(mine.select("token").distinct())
+        theirs = shown.withColumn("token", F.expr(TOKEN)).join(F.broadcast(tokens) if tokens.count() <= BROADCAST_ROWS else tokens, "token", "left_semi")
+        columns = ["unit", "key", "side", "p0", "p1", "doc", "line"]
+        both = theirs.select(own.alias("unit"), "key", F.lit(0).alias("side"), "p0", "p1", "doc", "line")
+        both = both.unionByName(mine.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("bigint"), units - 1))).select("unit", "key", F.lit(1).alias("side"), "p0", "p1", "doc", "line"))
+        both = both.repartition(F.expr(TOKEN), F.col("unit")).sortWithinPartitions(F.col("unit"), F.expr(TOKEN), F.col("side")).select(*columns)
+        near = scratch.save(both.mapInArrow(_across(best), pair))
+        scratch.drop(mine, tokens, left)
+    gone = gone.select(F.col("xd").alias("doc"), F.col("xl").alias("line"))
     kept = classes.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
     return kept.groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_list("line")).alias("kept"))
 

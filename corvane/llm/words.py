@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
 from corvane.llm.sets import mixed
 
-#: Bytes of text that are cut at once, whole documents each.
+#: Bytes of text that are cut at once, whole documents each; bytes whose running sums are held at once.
 PIECE = 1 << 18
+SEGMENT = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.isin(np.arange(256), (32, *range(9, 14)))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -22,24 +26,24 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as many as were needed so far."""
-
-    n = 0
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > cls.n:
-            cls.n = max(n, PIECE + 1)
-            cls.up, cls.down = _powers(int(_BASE), cls.n), _powers(pow(int(_BASE), -1, 1 << 64), cls.n)
-        return cls.up, cls.down
+@lru_cache(1)
+def _short() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE, SEGMENT), _powers(_INVERSE, SEGMENT)
 
 
-powers = _Powers.of
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64; only SEGMENT of them are kept from call to call."""
+    if n <= SEGMENT:
+        up, down = _short()
+        return up[:n], down[:n]
+    return _powers(_BASE, n), _powers(_INVERSE, n)
 
 
 def pieces(batches):
-    """``(ids, where each text begins and ends, the lower-cased bytes of all)`` of batches ``(id, text)``; rows with a null are left out."""
+    """``(ids, where each text begins and ends, the lower-cased bytes of all)`` of batches ``(id, text)``; rows with a null are left out.
+
+    Texts are taken together up to PIECE bytes; one that is longer comes alone, as a whole.
+    """
     for b in batches:
         keep = pa.compute.and_(b.column(0).is_valid(), b.column(1).is_valid())
         ids, texts = b.column(0).filter(keep).to_numpy(zero_copy_only=False), b.column(1).filter(keep).cast(pa.large_string())
@@ -58,7 +62,8 @@ def pieces(batches):
 def hashed(at: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of a piece begin, and their hashes.
 
-    A word's hash is a difference of running sums of its bytes times powers of a base, shifted back to the first power.
+    A word's hash is a difference of running sums of its bytes times powers of a base, shifted back to the first power. The sums
+    start anew in each segment of about SEGMENT bytes, cut between words, so that a long text takes no more for them than a short one.
     """
     n = len(text)
     filled = ~_BLANK[text]
@@ -68,6 +73,17 @@ def hashed(at: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begins[1:] &= ~filled[:-1] | edge[1:n]
     ends[:-1] &= ~filled[1:] | edge[1:n]
     begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _Powers.of(n + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text + np.uint64(1)) * up[:n], dtype=np.uint64)])
-    return begins, mixed((total[ends] - total[begins]) * down[begins])
+    h = np.empty(len(begins), np.uint64)
+    i = 0
+    while i < len(begins):
+        low = begins[i]
+        j = max(i + 1, int(np.searchsorted(ends, low + SEGMENT - 1, "right")))
+        high = ends[j - 1]
+        up, down = powers(int(high - low) + 1)
+        total = np.empty(high - low + 1, np.uint64)
+        total[0] = 0
+        np.cumsum((text[low:high] + np.uint64(1)) * up[:-1], dtype=np.uint64, out=total[1:])
+        first = begins[i:j] - low
+        h[i:j] = mixed((total[ends[i:j] - low] - total[first]) * down[first])
+        i = j
+    return begins, h

@@ -312,10 +312,9 @@ def test_line_dedup(spark, prose, monkeypatch):
     lines = [t for t in prose if t]
     texts = ["\n".join(rng.choices([*lines, "", "a b", "b a", "a b c d e", "a b c d f", "The the THE"], k=rng.randint(1, 6))) for _ in range(40)] + [None, "", "\n\n", "ab\ncd"]
     want = brute_lines(texts)
-    for best, held in ((4, 250_000), (1, 3)):  # one partner at first: the second pass finds the rest
+    for best, unit in ((4, 2048), (1, 3)):  # one partner at first and many units: the later rounds find the rest
         monkeypatch.setattr(line_dedup, "BEST", best)
-        monkeypatch.setattr(line_dedup, "HELD", held)
-        monkeypatch.setattr(line_dedup, "AT_ONCE", min(held, 20_000))
+        monkeypatch.setattr(line_dedup, "UNIT", unit)
         got = {r["doc_id"]: r["kept"] for r in line_dedup.kept_lines(docs(spark, texts)).collect()}
         assert got == dict(want)
     out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts).withColumn("kept", F.lit(1))).collect()}
