@@ -23,13 +23,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bounded_batches, without
+from corvane.llm.common import bounded_batches, release, without
 
 # How byte-level BPE vocabularies cut text into pieces. Letter runs come first, as the most frequent.
 PIECE = r" ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}++"
 
-#: Pieces remembered by a worker, in two generations: the older is dropped when the younger is full. As many pairs are remembered.
-REMEMBERED = 150_000
+#: Pieces of up to 64 characters remembered by a worker, in two generations: the older is dropped when the younger is full. The bound
+#: is about 30 MB each. As many pairs are remembered.
+REMEMBERED = 100_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -40,14 +41,17 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class _Pieces(dict):
-    """The ids of pieces, as bytes of int32."""
+    """The ids of pieces, as bytes of int32 and as decimals joined by commas."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
         self.bpe, self.older = bpe, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece) or np.array(self.bpe.piece(piece.encode()), np.int32).tobytes()
+    def __missing__(self, piece: str) -> tuple[bytes, bytes]:
+        ids = self.older.get(piece)
+        if ids is None:
+            found = self.bpe.piece(piece.encode())
+            ids = np.array(found, np.int32).tobytes(), ",".join(map(str, found)).encode()
         if len(piece) <= 64:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
@@ -77,7 +81,7 @@ class Bpe:
             self.parts.setdefault(whole, (a, b, rank))
         self.trie = ahocorasick.Automaton()
         for b, i in self.id_of.items():
-            self.trie.add_word(b.decode("latin-1"), i)
+            self.trie.add_word(b.decode("latin-1"), (i, len(b) - 1))
         self.trie.make_automaton()
         self.shorter = {i: self._longest_prefix(b) for i, b in self.bytes_of.items()}
         self.compatible: dict[int, bool] = {}
@@ -88,7 +92,8 @@ class Bpe:
         for t, i in self.added.items():
             table[i] = t.encode()
         self.buffer = np.frombuffer(b"".join(table), np.uint8)
-        self.length = np.array([len(t) for t in table], np.int64)
+        self.sizes = [len(t) for t in table]
+        self.length = np.array(self.sizes, np.int64)
         self.offset = np.concatenate([[0], np.cumsum(self.length)[:-1]])
 
     def _longest_prefix(self, b: bytes) -> int | None:
@@ -125,21 +130,19 @@ class Bpe:
     def piece(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one piece."""
         whole = self.id_of.get(piece)
-        if whole is not None and self.shorter[whole] is None:
+        if whole is not None:  # it is the longest match at the first byte and leaves nothing
             return (whole,)
         n = len(piece)
-        longest: list[int] = [-1] * n
-        size = [0] * n
-        for end, token in self.trie.iter(piece.decode("latin-1")):
-            k = len(self.bytes_of[token])
-            if k > size[end - k + 1]:
-                longest[end - k + 1], size[end - k + 1] = token, k
+        longest = [-1] * n
+        for end, (token, before) in self.trie.iter(piece.decode("latin-1")):
+            longest[end - before] = token  # of the matches from one byte on, the longest ends last
+        sizes, fits = self.sizes, self.fits
         alive = bytearray(b"\x01" * (n + 1))
         out: list[int] = []
         at, token = 0, longest[0]
         while at < n:
-            end = at + len(self.bytes_of[token])
-            if alive[end] and (not out or self.fits(out[-1], token)):
+            end = at + sizes[token]
+            if alive[end] and (not out or fits(out[-1], token)):
                 out.append(token)
                 at = end
                 if at < n:
@@ -151,18 +154,22 @@ class Bpe:
                 continue
             alive[at] = 0  # so that the predecessor, taken up again, gives way to a shorter one
             token = out.pop()
-            at -= len(self.bytes_of[token])
+            at -= sizes[token]
         return tuple(out)
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a text (int32)."""
+    def parts_of(self, text: str) -> list[tuple[bytes, bytes]]:
+        """The ids of a text's pieces in order, each as bytes of int32 and as decimals joined by commas."""
         known, parts, at = self.pieces, [], 0
         for start, stop, token in self._added(text):
             parts += [known[p] for p in self.cut(text[at:start] if at or start < len(text) else text)]
             if token is not None:
-                parts.append(np.int32(token).tobytes())
+                parts.append((np.int32(token).tobytes(), b"%d" % token))
             at = stop
-        return np.frombuffer(b"".join(parts), np.int32)
+        return parts
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text (int32)."""
+        return np.frombuffer(b"".join([x for x, _ in self.parts_of(text)]), np.int32)
 
     def _added(self, text: str):
         if self.split is not None and any(t in text for t in self.added):
@@ -171,7 +178,8 @@ class Bpe:
         yield len(text), len(text), None
 
     def forget(self) -> None:
-        """Drop what was remembered, but for the younger pieces."""
+        """Drop what was remembered."""
+        self.pieces.clear()
         self.pieces.older = {}
         self.compatible = {}
 
@@ -186,7 +194,7 @@ class Bpe:
         return self.buffer[at].tobytes()
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _model(spec: str) -> Bpe:
     return Bpe(spec)
 
@@ -213,21 +221,25 @@ def _coder(df: DataFrame, tokenizer: str, outputs: tuple[str, ...]):
     @F.arrow_udf("struct<" + ", ".join(f"{k}: {KINDS[k][1]}" for k in outputs) + ">")
     def code(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = _model(spec.value)
-        for text in texts:
-            yield columns(bpe, text)
-        bpe.forget()  # the worker may go on to other work, with little memory to spare
+        try:
+            for text in texts:
+                yield columns(bpe, text)
+        finally:  # the worker may go on to other work, with little memory to spare
+            bpe.forget()
+            release()
 
     def columns(bpe: Bpe, text: pa.Array) -> pa.Array:
         cols: dict[str, list] = {k: [] for k in outputs}
         for t in text:
-            ids = bpe.encode(t.as_py() or "")
+            parts = bpe.parts_of(t.as_py() or "")
+            ids = np.frombuffer(b"".join([x for x, _ in parts]), np.int32)
             for k, col in cols.items():
                 if k == "ids":
                     col.append(ids)
                 elif k == "n_tokens":
                     col.append(len(ids))
                 elif k == "ids_sha256":
-                    col.append(hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
+                    col.append(hashlib.sha256(b",".join([x for _, x in parts])).hexdigest())
                 elif k == "decoded":
                     col.append(bpe.decode(ids).decode("utf-8", "replace"))
                 else:
@@ -247,7 +259,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", outputs: tuple[str
     """
     code = _coder(df, tokenizer, outputs)
     kept = without(df, *outputs)
-    coded = df.select(*[kept[c] for c in kept.columns], code(F.col(text)).alias("__coded"))
+    coded = df.select(*[kept[c] for c in kept.columns], code(F.col(f"`{text}`")).alias("__coded"))
     return coded.select(*[F.col(f"`{c}`") for c in kept.columns], *[F.col(f"__coded.{k}").alias(k) for k in outputs])
 
 
@@ -261,4 +273,4 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", to: str = "decoded")
         bpe = _model(spec.value)
         return pa.array([None if not x.is_valid else bpe.decode(x.as_py()).decode("utf-8", "replace") for x in ids], pa.string())
 
-    return df.withColumn(to, back(F.col(ids)))
+    return df.withColumn(to, back(F.col(f"`{ids}`")))
