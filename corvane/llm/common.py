@@ -145,3 +145,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns of these names, whatever their case: an operator's own columns replace them."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in taken])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

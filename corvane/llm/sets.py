@@ -6,21 +6,17 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, components
+from corvane.llm.common import Scratch, components, tidy
 
 K = 5
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_known: dict[bytes, int] = {}
-#: Word hashes that a worker remembers; the table is emptied when full.
-REMEMBERED = 150_000
 #: A unit of exact linking holds two blocks of about this many set elements.
 BLOCK = 400_000
-#: Rows (of three longs) up to which cluster members are broadcast; beyond, they are joined by a shuffle.
+#: Rows (of three longs) up to which a table is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 400_000
 
 
@@ -31,21 +27,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(ws: list[bytes]) -> np.ndarray:
-    known, digest = _known, xxhash.xxh3_64_intdigest
-    out = []
-    for w in ws:
-        h = known.get(w)
-        if h is None:
-            h = digest(w)
-            if len(w) <= 64:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[w] = h
-        out.append(h)
-    return np.array(out, np.uint64)
-
-
 def shingle_hashes(h: np.ndarray, k: int = K) -> np.ndarray:
     """The shingles of a word sequence in text order; a shorter sequence is one shingle as a whole, an empty one has none."""
     n = min(k, len(h))
@@ -57,12 +38,6 @@ def shingle_hashes(h: np.ndarray, k: int = K) -> np.ndarray:
     return mixed(s)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Hashes of the distinct 5-word shingles, sorted."""
-    ws = text.encode("utf-8", "replace").lower().split() if text else []
-    return np.unique(shingle_hashes(word_hashes(ws)))
-
-
 def signed(x) -> int:
     """A 64-bit value as a Spark bigint."""
     x = int(x)
@@ -86,92 +61,116 @@ class Forest:
         return a != b
 
 
-def links(sets: list[np.ndarray], side: list[int], alike: Callable[[int, int, int], bool]) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs of ``sets`` that are ``alike(intersection, size, size)``.
+def links(sets: list[np.ndarray], ids: list[int], label: list[int], asked: list[bool], alone: list[bool]) -> Iterator[tuple[int, int]]:
+    """Pairs of ids of ``sets`` that are alike, of which one is ``asked``: a forest of those whose labels aren't connected yet,
+    and for each that is ``alone`` its least partner of a lesser id.
 
-    ``side``: the sets' block; if there are two, only pairs across are looked at. All pairs are counted
-    exactly, by an index from the elements to the sets, but pairs already connected aren't returned.
+    Intersections are counted exactly, by an index from the elements to the sets.
     """
     n = len(sets)
-    cross = len(set(side)) > 1
-    forest = Forest(n)
-    if n <= 6:
-        for x in range(n):
-            for y in range(x):
-                if (not cross or side[x] != side[y]) and forest.find(x) != forest.find(y):
-                    if alike(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), len(sets[x]), len(sets[y])):
-                        forest.join(x, y)
-                        yield x, y
-        return
-    size = np.array([len(s) for s in sets], np.int64)
+    of = {x: i for i, x in enumerate(dict.fromkeys(label))}
+    forest, group = Forest(len(of)), [of[x] for x in label]
+    size = np.array([len(x) for x in sets], np.int64)
     owner = np.repeat(np.arange(n), size)
     _, element, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.argsort(element, kind="stable")
     posting, start = owner[order], np.concatenate([[0], np.cumsum(uses)])
     first = np.concatenate([[0], np.cumsum(size)])
-    sides = np.array(side)
-    for x in range(n):
+    for x in np.flatnonzero(asked):
         mine = element[first[x] : first[x + 1]]
         mine = mine[uses[mine] > 1]
         if not len(mine):
             continue
         shared = np.bincount(np.concatenate([posting[start[e] : start[e + 1]] for e in mine]), minlength=n)
-        near = np.flatnonzero(shared[:x])
-        if cross:
-            near = near[sides[near] != side[x]]
-        for y in near[[bool(alike(int(shared[y]), int(size[x]), int(size[y]))) for y in near]] if len(near) else ():
-            if forest.join(x, int(y)):
-                yield x, int(y)
+        shared[x] = 0
+        near = np.flatnonzero(100 * shared >= 75 * (size[x] + size - shared))
+        if alone[x]:
+            least = min((ids[y] for y in near if ids[y] < ids[x]), default=None)
+            if least is not None:
+                yield least, ids[x]
+        for y in near:
+            if forest.join(group[x], group[y]):
+                yield min(ids[x], ids[y]), max(ids[x], ids[y])
+
+
+ALIKE = "100 * shared >= 75 * (size(sa) + size(sb) - shared)"
 
 
-def link_colliding(keys: DataFrame, members: Callable[[DataFrame], DataFrame], to_set: Callable[[object], np.ndarray], alike, scratch: Scratch) -> DataFrame:
-    """Connected components of similar sets among those that collide.
+def link_colliding(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch, apart: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The sets that are alike (Jaccard 0.75 or more) among those that collide in a key.
 
-    ``keys(key, id, n)``: a row for each band of each set, n its size. ``members(wanted)`` adds a column
-    ``body`` to ``wanted(id, ...)``, from which ``to_set`` makes the set. Returns ``(id, component)`` for the sets with a link.
+    ``keys(key, id)`` has a row for each band of each set, ``sets_of(ids)`` adds the distinct elements ``s`` of each set to ``ids(id)``.
+    Returns ``(components, links)``: ``components(id, component)`` of the sets with a link, ``component`` being the least id
+    reachable; ``links(a, b)``, ``a < b``, which connect them. With ``apart``, which tells from links those that count, each set that
+    has such a link to a lesser id has one in ``links``.
 
-    Sets that share a key, directly or by others, are a cluster. Every pair within a cluster is verified,
-    so nothing is lost to the choice of a representative; the pairs themselves are never rows: a cluster
-    is dealt out in blocks of bounded size, a task gets two blocks and returns a spanning forest of
-    the links between them. A bucket of any size is one row a task before the shuffle (its least id).
+    Every set of a bucket is compared with the bucket's least id: a bucket of n sets takes n - 1 comparisons, and copies in any
+    number are done. The rest is exact too: where sets of a bucket aren't connected by then (or have no link to a lesser id), these are
+    compared with all others of the bucket, in tasks of two blocks of bounded size.
     """
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    met = keys.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    cluster = components(met, scratch).withColumnRenamed("component", "cluster")
-    sized = scratch.save(keys.groupBy("id").agg(F.first("n").alias("n")).join(cluster, "id"))
-    blocks = sized.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK)).cast("int").alias("blocks"))
-    dealt = scratch.save(sized.join(blocks, "cluster").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).select("id", "cluster", "block", "blocks"))
-    small = dealt.count() <= BROADCAST_ROWS
-    units = members(F.broadcast(dealt) if small else dealt).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    units = units.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "body")
-    units = units.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, rows = None, []
-        out: list[tuple[int, int]] = []
-
-        def flush():
-            if len(rows) > 1:
-                ids = [r[0] for r in rows]
-                side = [r[1] for r in rows]
-                out.extend((ids[x], ids[y]) for x, y in links([r[2] for r in rows], side, alike))
-            rows.clear()
-
-        for b in batches:
-            for c, i, j, block, id_, body in zip(*(b.column(k) for k in range(6)), strict=True):
-                now = (c.as_py(), i.as_py(), j.as_py())
-                if now != unit:
-                    flush()
-                    unit = now
-                rows.append((id_.as_py(), block.as_py(), to_set(body.as_py())))
-            if out:
-                yield _pairs(out)
-                out.clear()
-        flush()
-        yield _pairs(out)
-
-    edges = units.mapInArrow(verify, "a bigint, b bigint")
-    return components(edges, scratch)
+    keys = scratch.save(keys)
+    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("members")).where("hub < last").drop("last")
+    met = scratch.save(keys.join(hubs, "key"))
+    scratch.drop(keys)
+    pairs = scratch.save(met.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    sets = scratch.save(sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    edges = scratch.save(both.where(ALIKE).select("a", "b"))
+    scratch.drop(pairs)
+    found = scratch.save(components(edges, scratch))
+    # Buckets of three or more sets, some of which are still apart.
+    rows = met.where("members > 2").join(found, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    rows = rows.join(found.select(F.col("id").alias("hub"), F.col("component").alias("hub_label")), "hub", "left")
+    rows = rows.withColumn("asked", (F.col("id") != F.col("hub")) & (F.col("label") != F.coalesce("hub_label", "hub")))
+    if apart is None:
+        rows = rows.withColumn("alone", F.lit(False))
+    else:
+        done = scratch.save(apart(edges).select(F.col("b").alias("id")).distinct())
+        rows = rows.join(done.withColumn("done", F.lit(True)), "id", "left").withColumn("alone", (F.col("id") != F.col("hub")) & F.col("done").isNull())
+    rows = scratch.save(rows.select("key", "id", "label", (F.col("asked") | F.col("alone")).alias("asked"), "alone"))
+    # Of buckets with the same members one is enough.
+    kinds = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"), F.max("asked").alias("open")).where("open")
+    kinds = kinds.groupBy("n", "h").agg(F.min("key").alias("key")).select("key")
+    rows = rows.join(kinds, "key")
+    sized = rows.join(sets.select("id", F.size("s").alias("n")), "id")
+    blocks = sized.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK)).cast("int").alias("blocks"))
+    dealt = sized.join(blocks, "key").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    dealt = scratch.save(dealt.select("key", "id", "label", "asked", "alone", "block", "blocks"))
+    if dealt.isEmpty():
+        scratch.drop(met, sets, rows, dealt)
+        return found, edges
+    other = F.expr("explode(transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j)))")
+    units = dealt.join(sets, "id").withColumn("u", other).select("key", "u.i", "u.j", "id", "label", "asked", "alone", "s")
+    units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = scratch.save(units.mapInArrow(tidy(_linked), "a bigint, b bigint"))
+    scratch.drop(met, sets, rows, dealt, found)
+    edges = edges.unionByName(more)
+    return components(edges, scratch), edges
+
+
+def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unit, rows = None, []
+    out: list[tuple[int, int]] = []
+
+    def flush():
+        if len(rows) > 1 and any(r[2] for r in rows):
+            ids, label, asked, alone, sets = map(list, zip(*rows, strict=True))
+            out.extend(links(sets, ids, label, asked, alone))
+        rows.clear()
+
+    for b in batches:
+        head = [b.column(k).to_pylist() for k in range(7)]
+        for k, (c, i, j, id_, label, asked, alone) in enumerate(zip(*head, strict=True)):
+            if (c, i, j) != unit:
+                flush()
+                unit = c, i, j
+            rows.append((id_, label, asked, alone, b.column(7)[k].values.to_numpy(zero_copy_only=False)))
+        if out:
+            yield _pairs(out)
+            out.clear()
+    flush()
+    yield _pairs(out)
 
 
 class Bits:
@@ -204,15 +203,19 @@ class Bits:
 
         def cut(batches):
             for b in batches:
-                for p in empty.places(b.column(0).to_numpy().view(np.uint64)):
-                    yield pa.RecordBatch.from_arrays([pa.array(p // size), pa.array(p % size)], names=["chunk", "bit"])
+                if b.num_rows:
+                    bit = np.unique(np.concatenate(empty.places(b.column(0).to_numpy().view(np.uint64))))
+                    chunks, at = np.unique(bit // size, return_index=True)
+                    bits = [x.tobytes() for x in np.split((bit % size).astype(np.uint16), at[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(chunks), pa.array(bits, pa.binary())], names=["chunk", "bits"])
 
         def fill(table: pa.Table) -> pa.Table:
             on = np.zeros(size, np.uint8)
-            on[table["bit"].to_numpy()] = 1
+            for x in table["bits"].to_pylist():
+                on[np.frombuffer(x, np.uint16)] = 1
             return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
 
-        got = hashes.mapInArrow(cut, "chunk bigint, bit bigint").distinct().groupBy("chunk").applyInArrow(fill, "chunk bigint, bits binary").toArrow()
+        got = hashes.mapInArrow(cut, "chunk bigint, bits binary").groupBy("chunk").applyInArrow(fill, "chunk bigint, bits binary").toArrow()
         for c, bits in zip(got["chunk"].to_pylist(), got["bits"].to_pylist(), strict=True):
             out.table[c * size // 8 : (c + 1) * size // 8] = np.frombuffer(bits, np.uint8)
         scratch.drop(hashes)

@@ -401,92 +401,93 @@ def test_components(spark):
 
 # -- 10 -------------------------------------------------------------------------------------------------
 
-def test_substring_dedup(spark, prose):
+def brute_repeats(texts, width, step):
+    """``{(doc, start of window): removed}`` of the paragraphs with a partner at 0.75 or more that they don't overlap."""
+    units = []
+    for i, t in enumerate(texts):
+        w = words(t)
+        if len(w) >= 5:
+            for start in sorted({*range(0, max(1, len(w) - width), step), max(0, len(w) - width)}):
+                own = w[start : start + width]
+                units.append((i, start, start + len(own), {tuple(own[k : k + 5]) for k in range(len(own) - 4)}))
+    by = defaultdict(set)
+    for x, u in enumerate(units):
+        for g in u[3]:
+            by[g].add(x)
+    out = {}
+    for x, (i, s, _, a) in enumerate(units):
+        for y, n in Counter(y for g in a for y in by[g] if y < x).items():
+            j, _, end, b = units[y]
+            if 100 * n >= 75 * (len(a) + len(b) - n) and (i != j or end <= s):
+                out[i, s] = True
+                out.setdefault(units[y][:2], False)
+    return out
+
+
+def found_repeats(spark, texts, width, step):
+    got = {}
+    for r in paragraph_dedup.repeats(docs(spark, texts), width=width, step=step).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    return got
+
+
+def fresh(rng, n):
+    return [f"w{rng.randrange(10**7)}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("width,step", [(55, 8), (20, 3), (15, 2)])
+def test_substring_dedup_is_brute_force(spark, prose, width, step):
     rng = random.Random(6)
-    fresh = lambda n, tag: " ".join(f"{tag}{rng.randrange(10**6)}" for _ in range(n))
-    passages = [fresh(51 + 7 * i, f"p{i}x") for i in range(12)]
-    texts, has = [], set()
-    for i in range(60):
-        t = fresh(rng.randint(30, 200), f"d{i}x").split(" ")
-        if i % 2:
-            at = rng.randrange(len(t))
-            t[at:at] = passages[i % 12].split(" ")
-            has.add(i)
+    passages = [fresh(rng, rng.randint(width - 4, 2 * width)) for _ in range(12)]
+    texts = []
+    for i in range(90):
+        t = fresh(rng, rng.randint(0, 200))
+        for _ in range(rng.randint(0, 3)):
+            p, at = list(rng.choice(passages)), rng.randint(0, len(t))
+            if rng.random() < 0.5:
+                p[rng.randrange(len(p))] = "edited"
+            t[at:at] = p
         texts.append(" ".join(t))
-    texts += [None, "", "short text", "word " * 80, "word " * 90, fresh(60, "self") + " " + fresh(20, "z")]
-    got = paragraph_dedup.repeats(docs(spark, texts)).collect()
-    found = {r["doc_id"] for r in got}
-    assert has <= found and found - has == {63, 64}
+    texts += [None, "", "short text", "one two three four five six", "one two three four five six", "word " * 80, "word " * 90, " ".join(fresh(rng, 30) * 9)]
+    texts += [t for t in prose if t] + texts[:5]
+    want = brute_repeats(texts, width, step)
+    got = paragraph_dedup.repeats(docs(spark, texts), width=width, step=step).collect()
+    assert {r["doc_id"] for r in got} == {i for i, _ in want}
+    removed, kept = Counter(), Counter()
+    for r in got:
+        (removed if r["removed"] else kept)[r["doc_id"]] += 1
+    assert removed == Counter(i for (i, _), x in want.items() if x)
     first = defaultdict(list)
     for r in got:
-        first[r["component"]].append((r["doc_id"], r["start"], r["removed"]))
+        first[r["component"]].append((r["doc_id"], r["start"], r["removed"], r["first_doc_id"]))
     for rows in first.values():
-        rows.sort()
-        assert [x[2] for x in rows] == [False] + [True] * (len(rows) - 1) and len({x[0] for x in rows}) > 1
-    cleaned = {r["doc_id"]: r["text"] for r in paragraph_dedup.cut_repeats(docs(spark, texts)).collect()}
-    assert all(cleaned[i] == texts[i] for i in range(len(texts)) if i not in found)
-    assert any(len(words(cleaned[i])) < len(words(texts[i])) for i in has)
-    assert paragraph_dedup.repeats(docs(spark, []).limit(0)).count() == 0
-    assert 1 - (1 - 0.75**paragraph_dedup.ROWS) ** paragraph_dedup.BANDS >= paragraph_dedup.RECALL
-
+        assert min(rows)[0] == rows[0][3] and not min(rows)[2] and any(x[2] for x in rows)
+    cleaned = {r["doc_id"]: r["text"] for r in paragraph_dedup.cut_repeats(docs(spark, texts).withColumn("cut_id", F.lit(1)), width=width, step=step).collect()}
+    assert len(cleaned) == len(texts) and all((len(words(cleaned[i])) < len(words(t))) == bool(removed[i]) for i, t in enumerate(texts) if t)
 
-def brute_passages(texts, least=0.75):
-    """Pairs of documents with a planted passage in both, by exact Jaccard of the passages."""
-    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-    sets = [shingles(t) for t in texts]
-    return {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])}
 
-
-def test_substring_dedup_finds_edited_copies(spark):
+def test_substring_dedup_recall(spark):
+    """Passages of over 50 words in other context, unchanged and with a word changed; shorter ones by narrower paragraphs."""
     rng = random.Random(16)
-    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
-    for size, least in ((40, 0.75), (45, 0.85), (51, 0.93)):
-        texts, passages = [], []
-        for _ in range(150):
-            passage = fresh(size)
-            edited = passage[: size // 2] + fresh(1) + passage[size // 2 + 1 :]
-            for x in (passage, edited):
-                passages.append(x)
-                texts.append(" ".join(fresh(rng.randint(20, 60)) + x + fresh(rng.randint(20, 60))))
-        want = brute_passages(passages)
-        assert len(want) == 150
-        found = {r["doc_id"] for r in paragraph_dedup.repeats(docs(spark, texts)).collect()}
-        recall = sum(i in found and j in found for i, j in want) / len(want)
-        print(f"passages of {size} words, one edited: {recall:.3f}")
-        assert recall >= least
-
-
-def test_substring_dedup_finds_short_lines(spark):
-    rng = random.Random(17)
-    fresh = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
-    lines = [fresh(n) for n in range(5, 20)]
-    texts = [f"{fresh(30)}\n{line}\n{fresh(30)}" for line in lines for _ in range(2)]
-    got = paragraph_dedup.repeats(docs(spark, texts)).collect()
-    assert {r["doc_id"] for r in got} == set(range(len(texts)))
-    for r in got:  # a paragraph at the threshold may hold a few words around the line
-        n = 5 + r["doc_id"] // 2
-        assert 26 <= r["start"] <= 30 and 30 + n <= r["start"] + r["n_words"] <= 34 + n
-        assert r["removed"] == (r["doc_id"] % 2 == 1)
-
-
-def test_substring_dedup_within_a_document(spark):
-    rng = random.Random(18)
-    fresh = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
-    passage, periodic = fresh(60), fresh(30)
-    texts = [" ".join(f"{fresh(25)} {passage}" for _ in range(200)), fresh(300), " ".join([periodic] * 50)]
-    got = paragraph_dedup.repeats(docs(spark, texts)).collect()
-    assert {r["doc_id"] for r in got} == {0, 2}
-    places = defaultdict(list)
-    for r in got:
-        places[r["component"]].append((r["doc_id"], r["start"], r["removed"]))
-    assert all([x[2] for x in sorted(p)] == [False] + [True] * (len(p) - 1) for p in places.values())
-    assert max(len(p) for p in places.values()) >= 200
-    cleaned = {r["doc_id"]: words(r["text"]) for r in paragraph_dedup.cut_repeats(docs(spark, texts)).collect()}
-    assert cleaned[1] == words(texts[1])
-    kept = Counter(cleaned[0])
-    assert all(kept[w] >= 1 for w in words(texts[0])) and sum(kept[w] == 1 for w in words(passage)) >= 40
-    assert len(words(texts[0])) == 200 * 85 and len(cleaned[0]) < 200 * 45
-    assert len(cleaned[2]) < 120
+    for size, edits, width, step in ((51, 0, 55, 8), (120, 1, 55, 8), (25, 0, 20, 3), (20, 0, 15, 1), (30, 1, 15, 1)):
+        texts = []
+        for _ in range(100):
+            passage = fresh(rng, size)
+            edited = list(passage)
+            for k in range(edits):
+                edited[k * 25 + 12] = "edited"
+            texts += [" ".join(fresh(rng, rng.randint(0, 80)) + x + fresh(rng, rng.randint(0, 80))) for x in (passage, edited)]
+        texts += [" ".join(fresh(rng, 150)) for _ in range(100)]
+        got = found_repeats(spark, texts, width, step)
+        assert set(got) == set(range(200)), (size, edits, width)
+        assert all(any(r["removed"] for r in got[i]) == (i % 2 == 1) for i in got)
+
+
+def test_substring_dedup_edges(spark):
+    assert paragraph_dedup.repeats(docs(spark, []).limit(0)).count() == 0
+    same = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "x " * 9)], "doc_id bigint, text string")
+    assert paragraph_dedup.repeats(same).count() == 0 and paragraph_dedup.cut_repeats(same).count() == 4
+    assert 1 - (1 - 0.75**paragraph_dedup.ROWS) ** paragraph_dedup.BANDS >= paragraph_dedup.RECALL
 
 
 def test_cut_spans():
