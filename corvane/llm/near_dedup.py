@@ -102,7 +102,7 @@ def _classes(df: DataFrame, key: str, text: str) -> DataFrame:
     nodes = made.where("id is not null and n > 0")
     reps = scratch.save(nodes.groupBy("s1", "s2").agg(F.min("id").alias("rep")))
     first = nodes.join(reps.select(F.col("rep").alias("id"), F.col("s1").alias("r1"), F.col("s2").alias("r2")), "id").where("s1 = r1 and s2 = r2")
-    keys = first.select(F.explode("bands").alias("key"), "id").distinct()
+    keys = scratch.save(first.select("id", "bands")).select(F.explode("bands").alias("key"), "id")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = scratch.save(ids)

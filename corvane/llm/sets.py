@@ -99,7 +99,7 @@ ALIKE = "100 * shared >= 75 * (size(sa) + size(sb) - shared)"
 def link_colliding(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch, apart: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """The sets that are alike (Jaccard 0.75 or more) among those that collide in a key.
 
-    ``keys(key, id)`` has a row for each band of each set, ``sets_of(ids)`` adds the distinct elements ``s`` of each set to ``ids(id)``.
+    ``keys(key, id)`` has a row for each band of each set and is read twice, ``sets_of(ids)`` adds the distinct elements ``s`` of each set to ``ids(id)``.
     Returns ``(components, links)``: ``components(id, component)`` of the sets with a link, ``component`` being the least id
     reachable; ``links(a, b)``, ``a < b``, which connect them. With ``apart``, which tells from links those that count, each set that
     has such a link to a lesser id has one in ``links``.
@@ -108,10 +108,8 @@ def link_colliding(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], s
     number are done. The rest is exact too: where sets of a bucket aren't connected by then (or have no link to a lesser id), these are
     compared with all others of the bucket, in tasks of two blocks of bounded size.
     """
-    keys = scratch.save(keys)
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("members")).where("hub < last").drop("last")
+    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
     met = scratch.save(keys.join(hubs, "key"))
-    scratch.drop(keys)
     pairs = scratch.save(met.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     sets = scratch.save(sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))
     side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))

@@ -401,15 +401,19 @@ def test_components(spark):
 
 # -- 10 -------------------------------------------------------------------------------------------------
 
-def brute_repeats(texts, width, step):
+def brute_repeats(texts, width, gap):
     """``{(doc, start of window): removed}`` of the paragraphs with a partner at 0.75 or more that they don't overlap."""
-    units = []
-    for i, t in enumerate(texts):
-        w = words(t)
-        if len(w) >= 5:
-            for start in sorted({*range(0, max(1, len(w) - width), step), max(0, len(w) - width)}):
-                own = w[start : start + width]
-                units.append((i, start, start + len(own), {tuple(own[k : k + 5]) for k in range(len(own) - 4)}))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["id", "body"])
+    units, cover = [], [0] * len(texts)
+    for ids, start, _, size, _ in paragraph_dedup.paragraphs([batch], width, gap):
+        for i, s, n in zip(ids.tolist(), start.tolist(), size.tolist(), strict=True):
+            own = words(texts[i])[s : s + n]
+            assert len(own) == n and s <= cover[i] and n == min(width, len(words(texts[i])))
+            cover[i] = s + n
+            units.append((i, s, s + n, {tuple(own[k : k + 5]) for k in range(n - 4)}))
+    assert all(cover[i] == len(words(t)) or len(words(t)) < 5 for i, t in enumerate(texts))
     by = defaultdict(set)
     for x, u in enumerate(units):
         for g in u[3]:
@@ -424,9 +428,9 @@ def brute_repeats(texts, width, step):
     return out
 
 
-def found_repeats(spark, texts, width, step):
+def found_repeats(spark, texts, width, gap):
     got = {}
-    for r in paragraph_dedup.repeats(docs(spark, texts), width=width, step=step).collect():
+    for r in paragraph_dedup.repeats(docs(spark, texts), width=width, gap=gap).collect():
         got.setdefault(r["doc_id"], []).append(r)
     return got
 
@@ -435,8 +439,8 @@ def fresh(rng, n):
     return [f"w{rng.randrange(10**7)}" for _ in range(n)]
 
 
-@pytest.mark.parametrize("width,step", [(55, 8), (20, 3), (15, 2)])
-def test_substring_dedup_is_brute_force(spark, prose, width, step):
+@pytest.mark.parametrize("width,gap", [(55, 11), (20, 2)])
+def test_substring_dedup_is_brute_force(spark, prose, width, gap):
     rng = random.Random(6)
     passages = [fresh(rng, rng.randint(width - 4, 2 * width)) for _ in range(12)]
     texts = []
@@ -450,8 +454,8 @@ def test_substring_dedup_is_brute_force(spark, prose, width, step):
         texts.append(" ".join(t))
     texts += [None, "", "short text", "one two three four five six", "one two three four five six", "word " * 80, "word " * 90, " ".join(fresh(rng, 30) * 9)]
     texts += [t for t in prose if t] + texts[:5]
-    want = brute_repeats(texts, width, step)
-    got = paragraph_dedup.repeats(docs(spark, texts), width=width, step=step).collect()
+    want = brute_repeats(texts, width, gap)
+    got = paragraph_dedup.repeats(docs(spark, texts), width=width, gap=gap).collect()
     assert {r["doc_id"] for r in got} == {i for i, _ in want}
     removed, kept = Counter(), Counter()
     for r in got:
@@ -462,14 +466,14 @@ def test_substring_dedup_is_brute_force(spark, prose, width, step):
         first[r["component"]].append((r["doc_id"], r["start"], r["removed"], r["first_doc_id"]))
     for rows in first.values():
         assert min(rows)[0] == rows[0][3] and not min(rows)[2] and any(x[2] for x in rows)
-    cleaned = {r["doc_id"]: r["text"] for r in paragraph_dedup.cut_repeats(docs(spark, texts).withColumn("cut_id", F.lit(1)), width=width, step=step).collect()}
+    cleaned = {r["doc_id"]: r["text"] for r in paragraph_dedup.cut_repeats(docs(spark, texts).withColumn("cut_id", F.lit(1)), width=width, gap=gap).collect()}
     assert len(cleaned) == len(texts) and all((len(words(cleaned[i])) < len(words(t))) == bool(removed[i]) for i, t in enumerate(texts) if t)
 
 
 def test_substring_dedup_recall(spark):
     """Passages of over 50 words in other context, unchanged and with a word changed; shorter ones by narrower paragraphs."""
     rng = random.Random(16)
-    for size, edits, width, step in ((51, 0, 55, 8), (120, 1, 55, 8), (25, 0, 20, 3), (20, 0, 15, 1), (30, 1, 15, 1)):
+    for size, edits, width, gap in ((51, 0, 55, 11), (120, 1, 55, 11), (25, 0, 20, 2), (20, 0, 15, 1), (30, 1, 15, 1)):
         texts = []
         for _ in range(100):
             passage = fresh(rng, size)
@@ -478,7 +482,7 @@ def test_substring_dedup_recall(spark):
                 edited[k * 25 + 12] = "edited"
             texts += [" ".join(fresh(rng, rng.randint(0, 80)) + x + fresh(rng, rng.randint(0, 80))) for x in (passage, edited)]
         texts += [" ".join(fresh(rng, 150)) for _ in range(100)]
-        got = found_repeats(spark, texts, width, step)
+        got = found_repeats(spark, texts, width, gap)
         assert set(got) == set(range(200)), (size, edits, width)
         assert all(any(r["removed"] for r in got[i]) == (i % 2 == 1) for i in got)
 
