@@ -96,16 +96,16 @@ def links(sets: list[np.ndarray], ids: list[int], label: list[int], asked: list[
 ALIKE = "100 * shared >= 75 * (size(sa) + size(sb) - shared)"
 
 
-def link_colliding(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch, apart: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def link_colliding(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch, unlinked: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """The sets that are alike (Jaccard 0.75 or more) among those that collide in a key.
 
     ``keys(key, id)`` has a row for each band of each set and is read twice, ``sets_of(ids)`` adds the distinct elements ``s`` of each set to ``ids(id)``.
     Returns ``(components, links)``: ``components(id, component)`` of the sets with a link, ``component`` being the least id
-    reachable; ``links(a, b)``, ``a < b``, which connect them. With ``apart``, which tells from links those that count, each set that
-    has such a link to a lesser id has one in ``links``.
+    reachable; ``links(a, b)``, ``a < b``, which connect them. ``unlinked(components, links)`` may name sets (``id``) of which the
+    least partner of all is asked for, if there is one.
 
     Every set of a bucket is compared with the bucket's least id: a bucket of n sets takes n - 1 comparisons, and copies in any
-    number are done. The rest is exact too: where sets of a bucket aren't connected by then (or have no link to a lesser id), these are
+    number are done. The rest is exact too: where sets of a bucket aren't connected by then (or named by ``unlinked``), these are
     compared with all others of the bucket, in tasks of two blocks of bounded size.
     """
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
@@ -120,13 +120,16 @@ def link_colliding(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], s
     # Buckets of three or more sets, some of which are still apart.
     rows = met.where("members > 2").join(found, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     rows = rows.join(found.select(F.col("id").alias("hub"), F.col("component").alias("hub_label")), "hub", "left")
-    rows = rows.withColumn("asked", (F.col("id") != F.col("hub")) & (F.col("label") != F.coalesce("hub_label", "hub")))
-    if apart is None:
+    asked = F.col("label") != F.coalesce("hub_label", "hub")
+    if unlinked is None:
         rows = rows.withColumn("alone", F.lit(False))
     else:
-        done = scratch.save(apart(edges).select(F.col("b").alias("id")).distinct())
-        rows = rows.join(done.withColumn("done", F.lit(True)), "id", "left").withColumn("alone", (F.col("id") != F.col("hub")) & F.col("done").isNull())
-    rows = scratch.save(rows.select("key", "id", "label", (F.col("asked") | F.col("alone")).alias("asked"), "alone"))
+        alone = scratch.save(unlinked(found, edges))
+        few = alone.count() <= BROADCAST_ROWS
+        alone = alone.withColumn("alone", F.lit(True))
+        rows = rows.join(F.broadcast(alone) if few else alone, "id", "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
+    rows = rows.withColumn("asked", (F.col("id") != F.col("hub")) & (asked | F.col("alone")))
+    rows = scratch.save(rows.select("key", "id", "label", "asked", "alone"))
     # Of buckets with the same members one is enough.
     kinds = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"), F.max("asked").alias("open")).where("open")
     kinds = kinds.groupBy("n", "h").agg(F.min("key").alias("key")).select("key")
