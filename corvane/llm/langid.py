@@ -1,7 +1,7 @@
 """Language ID by n-gram filters that answer for all languages at once.
 
 One Bloom filter per language, kept bit-sliced: slot i of the table holds a word whose bit l is bit i
-of language l's filter. Looking an n-gram up at its k slots and taking the AND of the words gives the
+of language l's filter; for each further 64 languages there is one more table. Looking an n-gram up at its k slots and taking the AND of the words gives the
 set of all languages that contain it. Over a text, a population count for each language gives the
 share of its n-grams that the language knows; it is corrected for the share that the filter, as full
 as it is, would affirm by chance. The largest corrected share decides and is the score.
@@ -25,8 +25,8 @@ SLOTS = 1 << 20
 SAMPLE = 4000
 #: An n-gram belongs to a language if it is seen there as often as this, and this share of its most frequent use.
 LEAST, SHARE = 3, 0.05
-#: The languages are bits of one 64-bit word.
-MOST_LANGUAGES = 64
+#: Languages that are bits of one word. The model takes SLOTS words for each started WORD_BITS languages.
+WORD_BITS = 64
 
 
 @lru_cache(1)
@@ -60,17 +60,20 @@ def _slots(h: np.ndarray) -> tuple[np.ndarray, ...]:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # SLOTS words; bit l: language l
+    table: np.ndarray  # rows of SLOTS words; bit l of a word of row r: language WORD_BITS * r + l
     chance: np.ndarray  # by language: the probability that its filter affirms an n-gram it doesn't contain
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        h = _grams(text) if text else ()
-        if not len(h) or not self.languages:
-            return "und", 0.0
+        h = _grams(text) if text else np.empty(0, np.uint64)
+        return self.predict_grams(h) if len(h) and self.languages else ("und", 0.0)
+
+    def predict_grams(self, h: np.ndarray) -> tuple[str, float]:
         a, b, c = _slots(h)
-        found = self.table[a] & self.table[b] & self.table[c]
-        seen = np.array([np.count_nonzero(found & self.table.dtype.type(1 << i)) for i in range(len(self.languages))])
-        known = np.clip((seen / len(h) - self.chance) / (1 - self.chance), 0, 1)
+        seen = []
+        for words in self.table:
+            found = words[a] & words[b] & words[c]
+            seen += [np.count_nonzero(found & words.dtype.type(1 << i)) for i in range(min(WORD_BITS, len(self.languages) - len(seen)))]
+        known = np.clip((np.array(seen) / len(h) - self.chance) / (1 - self.chance), 0, 1)
         best = int(known.argmax())  # of ties the first in the order of the names
         return self.languages[best], round(float(known[best]), 6)
 
@@ -80,18 +83,17 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
 
     Of each language a share of rows is taken that is expected to give ``sample`` of them, by a hash
     of the text, so equal rows are in or out together and the choice doesn't depend on partitions.
-    The n-gram counts and the filters' slots are made by aggregations; the driver gets the SLOTS
-    words of the table at most. No labelled row gives a model that says ``und``.
+    That bounds the sample in expectation; a text that very many rows have is in with all of them or none.
+    The n-gram counts and the filters' slots are made by aggregations; the driver gets the table at most, SLOTS
+    words for each started WORD_BITS languages. No labelled row gives a model that says ``und``.
     """
     bounded_batches(labelled.sparkSession)
     rows = labelled.where(f"`{text}` is not null and `{lang}` is not null").select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l"))
-    sizes = rows.groupBy("l").count().orderBy("l").limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = rows.groupBy("l").count().orderBy("l").collect()  # a row a language
     if not sizes:
-        return Model([], np.zeros(SLOTS, np.uint64), np.zeros(0))
+        return Model([], np.zeros((1, SLOTS), np.uint64), np.zeros(0))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["l"], sample / r["count"])])
-    taken = rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.element_at(share, F.col("l")) * 1_000_000)
+    taken = rows.where(F.xxhash64(F.col("t"), F.lit("sample")) / 2.0**64 + 0.5 < F.element_at(share, F.col("l")))
 
     def count(batches):
         for b in batches:
@@ -102,23 +104,24 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
 
     counts = taken.mapInArrow(count, "l string, h bigint, n bigint").groupBy("l", "h").agg(F.sum("n").alias("n"))
     total = F.create_map(*[F.lit(x) for r in counts.groupBy("l").agg(F.sum("n").alias("n")).collect() for x in (r["l"], float(r["n"]))])
-    bit = F.create_map(*[F.lit(x) for i, r in enumerate(sizes) for x in (r["l"], np.uint64(1 << i).astype(np.int64).item())])
+    bit = F.create_map(*[F.lit(x) for i, r in enumerate(sizes) for x in (r["l"], i)])
     rated = counts.withColumn("rate", F.col("n") / F.element_at(total, F.col("l")))
     most = rated.groupBy("h").agg(F.max("rate").alias("most"))
-    kept = rated.join(most, "h").where(f"n >= {LEAST} and rate >= {SHARE} * most").select("h", F.element_at(bit, F.col("l")).cast("bigint").alias("bit"))
-    bits = kept.groupBy("h").agg(F.bit_or("bit").alias("bits"))
+    kept = rated.join(most, "h").where(f"n >= {LEAST} and rate >= {SHARE} * most").withColumn("i", F.element_at(bit, F.col("l")))
+    kept = kept.select("h", F.expr(f"i div {WORD_BITS}").alias("row"), F.expr(f"shiftleft(1L, i % {WORD_BITS})").alias("bit"))
+    bits = kept.groupBy("h", "row").agg(F.bit_or("bit").alias("bits"))
 
     def slots(batches):
         for b in batches:
             h = b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
             for s in _slots(h):
-                yield pa.RecordBatch.from_arrays([pa.array(s), b.column("bits")], names=["slot", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(s), b.column("bits")], names=["row", "slot", "bits"])
 
-    got = bits.mapInArrow(slots, "slot bigint, bits bigint").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(sizes) <= n)
-    table = np.zeros(SLOTS, kind)
-    table[got["slot"].to_numpy()] = got["bits"].to_numpy().view(np.uint64).astype(kind)
-    full = np.array([np.count_nonzero(table & kind(1 << i)) / SLOTS for i in range(len(sizes))])
+    got = bits.mapInArrow(slots, "row bigint, slot bigint, bits bigint").groupBy("row", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    kind = next((k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(sizes) <= n), np.uint64)
+    table = np.zeros((-(-len(sizes) // WORD_BITS), SLOTS), kind)
+    table[got["row"].to_numpy(), got["slot"].to_numpy()] = got["bits"].to_numpy().view(np.uint64).astype(kind)
+    full = np.array([np.count_nonzero(table[i // WORD_BITS] & kind(1 << i % WORD_BITS)) / SLOTS for i in range(len(sizes))])
     return Model([r["l"] for r in sizes], table, full**3)
 
 

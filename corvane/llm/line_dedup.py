@@ -29,7 +29,7 @@ from corvane.llm.words import hashed, pieces
 #: Jaccard, as a fraction of integers.
 NUM, DEN = 4, 5
 RARITY = 1 << 19
-BEST, UNIT = 4, 2048
+BEST, UNIT = 4, 8192
 _PART = 1 << 12
 #: Classes of rarity: steps of the logarithm to the base 2 of a word's count.
 CLASSES, STEPS = 64, 1.5
@@ -112,10 +112,9 @@ def _lines(piece, rarity: np.ndarray) -> pa.RecordBatch:
     )
 
 
-#: Of a packed row: its word; how many units the word's rows are dealt out to.
+#: Of a packed row: its word, and about how often that occurs in all lines.
 TOKEN = "shiftright(key, 32)"
-UNITS = f"cast(ceil(pow(2, (key & {CLASSES - 1}) / {STEPS}) / {{unit}}) as bigint)"
-OWN_UNIT = f"pmod(xxhash64(doc, line), {UNITS})"
+OCCURS = f"pow(2, (key & {CLASSES - 1}) / {STEPS})"
 
 
 def _size(key):
@@ -183,20 +182,20 @@ def _passes(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return fits & (large | (differ <= both - 2 * need)) & (far | large | (np.minimum(x[0] - x[1], y[0] - y[1]) + np.minimum(x[1], y[1]) >= need))
 
 
-def _within(best: int, unit: int):
+def _within(best: int):
     """Of the rows of each unit, sorted by (unit, word, size): partners of each later line that pass the filters."""
 
     def run(batches):
-        for rows in _whole_units(batches, 6):
+        for rows in _whole_units(batches, 7):
             edges = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1], [True]]))
             for s, e in zip(edges[:-1], edges[1:], strict=True):
-                yield _partners([x[s:e] for x in rows[1:]], best, unit)
+                yield _partners([x[s:e] for x in rows[1:]], best)
 
     return tidy(run)
 
 
-def _partners(rows: list[np.ndarray], best: int, unit: int) -> pa.RecordBatch:
-    key, p0, p1, doc, line = rows
+def _partners(rows: list[np.ndarray], best: int) -> pa.RecordBatch:
+    key, units, p0, p1, doc, line = rows
     n, fields = _size(key), [_size(key), _place_of(key), p0.view(np.uint64), p1.view(np.uint64)]
     take = lambda i: [f[i] for f in fields]
     order = np.lexsort((line, doc))
@@ -227,12 +226,12 @@ def _partners(rows: list[np.ndarray], best: int, unit: int) -> pa.RecordBatch:
             found.add(np.array([x]), np.array([z]))
     x, c = np.nonzero(found.of >= 0)
     y = found.of[x, c]
-    split = 2 ** ((key & (CLASSES - 1)) / STEPS) > unit
+    split = units > 1
     # A line of which the word's other units may hold a match is named along with itself.
     alone = np.flatnonzero(split & (found.n == 0))
     x, y = np.concatenate([x, alone]), np.concatenate([y, alone])
     more = (found.n[x] > best) | split[x]
-    return pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(line[x]), pa.array(doc[y]), pa.array(line[y]), pa.array(more)], names=["xd", "xl", "yd", "yl", "more"])
+    return pa.RecordBatch.from_arrays([pa.array(key[x] >> 32), pa.array(doc[x]), pa.array(line[x]), pa.array(doc[y]), pa.array(line[y]), pa.array(more)], names=["token", "xd", "xl", "yd", "yl", "more"])
 
 
 def _across(best: int):
@@ -267,7 +266,7 @@ def _earlier(xs: list[np.ndarray], ys: list[np.ndarray], best: int) -> pa.Record
         to += y[:best].tolist()
         more += [len(y) > best] * len(y[:best])
     at, to = np.array(at, np.int64), np.array(to, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(xs[5][at]), pa.array(xs[6][at]), pa.array(ys[5][to]), pa.array(ys[6][to]), pa.array(more, pa.bool_())], names=["xd", "xl", "yd", "yl", "more"])
+    return pa.RecordBatch.from_arrays([pa.array(xs[1][at] >> 32), pa.array(xs[5][at]), pa.array(xs[6][at]), pa.array(ys[5][to]), pa.array(ys[6][to]), pa.array(more, pa.bool_())], names=["token", "xd", "xl", "yd", "yl", "more"])
 
 
 #: Stands for a document as such, in the place of a line number.
@@ -359,17 +358,21 @@ def kept_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     lines = texts.mapInArrow(tidy(cut), "doc bigint, line int, s1 bigint, s2 bigint, n int, p0 bigint, p1 bigint, prefix array<bigint>")
     first = lines.groupBy("s1", "s2").agg(F.min(F.struct("doc", "line", "n", "p0", "p1", "prefix")).alias("f"))
     classes = scratch.save(first.select("f.*"))
-    shown = classes.where("size(prefix) > 0").select(F.explode("prefix").alias("key"), "p0", "p1", "doc", "line")
-    units, own = F.expr(UNITS.format(unit=UNIT)), F.expr(OWN_UNIT.format(unit=UNIT))
-    pair = "xd bigint, xl int, yd bigint, yl int, more boolean"
-    near = shown.repartition(F.expr(TOKEN), own).select(own.alias("unit"), "key", "p0", "p1", "doc", "line").sortWithinPartitions("unit", "key").mapInArrow(_within(BEST, UNIT), pair)
+    shown = classes.where("size(prefix) > 0").select(F.explode("prefix").alias("key"), "p0", "p1", "doc", "line").withColumn("token", F.expr(TOKEN))
+    # Words with many rows, none of which can be rare: their rows are dealt out to units.
+    hot = scratch.save(shown.where(F.expr(OCCURS) * 2 > UNIT).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > UNIT))
+    few = hot.count() <= BROADCAST_ROWS
+    shown = shown.join(F.broadcast(hot) if few else hot, "token", "left").withColumn("units", F.coalesce(F.ceil(F.col("n") / UNIT), F.lit(1)).cast("int")).drop("n")
+    own = F.expr("cast(pmod(xxhash64(doc, line), units) as int)")
+    pair = "token bigint, xd bigint, xl int, yd bigint, yl int, more boolean"
+    near = shown.repartition(F.col("token"), own).select(own.alias("unit"), "key", "units", "p0", "p1", "doc", "line").sortWithinPartitions("unit", "key").mapInArrow(_within(BEST), pair)
     near = scratch.save(near)
     gone, best = None, BEST
     while True:
         pairs = near.where("xd <> yd or xl <> yl").select("xd", "xl", "yd", "yl").distinct()
         matched = _verified(pairs, texts, scratch)
-        left = near.where("more").select("xd", "xl").distinct().join(matched, ["xd", "xl"], "left_anti")
-        left = scratch.save(left)
+        left = near.where("more").select("token", "xd", "xl").distinct().join(matched, ["xd", "xl"], "left_anti")
+        left = scratch.save(left.select("token", F.col("xd").alias("doc"), F.col("xl").alias("line")))
         gone = matched if gone is None else gone.unionByName(matched)
         scratch.drop(near)
         if left.isEmpty():
@@ -377,14 +380,12 @@ def kept_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         # The partners in all units of the lines whose first ones didn't match, more of them each time.
         best *= 8
         few = left.count() <= BROADCAST_ROWS
-        mine = shown.join(F.broadcast(left) if few else left, (F.col("doc") == F.col("xd")) & (F.col("line") == F.col("xl")), "left_semi")
-        mine = scratch.save(mine.withColumn("token", F.expr(TOKEN)))
+        mine = scratch.save(shown.join(F.broadcast(left) if few else left, ["token", "doc", "line"], "left_semi"))
         tokens = scratch.save(mine.select("token").distinct())
-        theirs = shown.withColumn("token", F.expr(TOKEN)).join(F.broadcast(tokens) if tokens.count() <= BROADCAST_ROWS else tokens, "token", "left_semi")
-        columns = ["unit", "key", "side", "p0", "p1", "doc", "line"]
+        theirs = shown.join(F.broadcast(tokens) if tokens.count() <= BROADCAST_ROWS else tokens, "token", "left_semi")
         both = theirs.select(own.alias("unit"), "key", F.lit(0).alias("side"), "p0", "p1", "doc", "line")
-        both = both.unionByName(mine.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("bigint"), units - 1))).select("unit", "key", F.lit(1).alias("side"), "p0", "p1", "doc", "line"))
-        both = both.repartition(F.expr(TOKEN), F.col("unit")).sortWithinPartitions(F.col("unit"), F.expr(TOKEN), F.col("side")).select(*columns)
+        both = both.unionByName(mine.withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("units") - 1))).select("unit", "key", F.lit(1).alias("side"), "p0", "p1", "doc", "line"))
+        both = both.repartition(F.expr(TOKEN), F.col("unit")).sortWithinPartitions(F.col("unit"), F.expr(TOKEN), F.col("side"))
         near = scratch.save(both.mapInArrow(_across(best), pair))
         scratch.drop(mine, tokens, left)
     gone = gone.select(F.col("xd").alias("doc"), F.col("xl").alias("line"))

@@ -1,6 +1,6 @@
 """Document fingerprints by Order MinHash, with DataFrame functions only.
 
-The k-mers are pairs of neighbouring words, numbered by occurrence so that repeated ones stay apart. Each gets one
+The k-mers are pairs of neighbouring words (or characters, in runs of more than LONG without a blank), numbered by occurrence so that repeated ones stay apart. Each gets one
 random hash. A coordinate j of SKETCHES selects the TUPLE k-mers least by (hash xor j in the top bits), puts them
 back into text order and hashes the tuple. The xor is a permutation of the hashes for each j, whose least elements lie
 next to each other in the one sorted array of hashes, so that no k-mer is hashed or sorted anew for each coordinate; where
@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from corvane.llm.common import Scratch, without
 
 SKETCHES, TUPLE = 64, 2
-#: Ids (by position in the range of ids) that share a group of neighbours.
-GROUP = 512
+#: Words of more code points than this are cut into single ones: texts without blanks.
+LONG = 32
+#: Ids that share a group of neighbours, and quantiles between which groups have one width.
+GROUP, QUANTILES = 512, 1000
 #: Groups up to which their table is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_GROUPS = 500_000
 
-# A k-mer is one long: 40 bits of hash, 24 bits of position.
-_HASH, _POS = "-16777216L", "16777215L"
+# A k-mer is one long: 32 bits of hash, 32 bits of position (an array has no more elements).
+_HASH, _POS = "-4294967296L", "4294967295L"
 _SKETCH_BITS = SKETCHES.bit_length() - 1
 _TOP = f"shiftleft(cast(j as bigint), {64 - _SKETCH_BITS})"
 _FLIP = f"({_TOP} ^ shiftleft(1L, 63))"
@@ -37,14 +39,16 @@ def fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
     """
     w, h, g, b, s = (f"__{x}_{to}" for x in ("w", "h", "g", "b", "s"))
     blank = r"' \t\n\u000B\f\r'"
+    split = rf"split({w}, '[ \\t-\\r]+')"
+    cut = f"flatten(transform({split}, x -> if(char_length(x) > {LONG}, regexp_extract_all(x, '(?s)(.)', 1), array(x))))"
     steps = {
         w: f"trim(both {blank} from coalesce(`{text}`, ''))",
-        h: rf"if({w} = '', array(), transform(split({w}, '[ \\t-\\r]+'), x -> xxhash64(x)))",
+        h: rf"transform(if({w} = '', cast(array() as array<string>), if({w} rlike '[^ \\t-\\r]{{{LONG + 1}}}', {cut}, {split})), x -> xxhash64(x))",
         # sorted by hash, then by position
         g: f"sort_array(transform(if(size({h}) < 2, {h}, zip_with(slice({h}, 1, size({h}) - 1), slice({h}, 2, size({h}) - 1), (x, y) -> xxhash64(x, y))),"
-        f" (x, i) -> (x & {_HASH}) | least(cast(i as bigint), {_POS})))",
+        f" (x, i) -> (x & {_HASH}) | cast(i as bigint)))",
         # where runs of equal k-mers begin
-        b: f"if(size({g}) = 0, cast(array() as array<int>), filter(sequence(0, size({g}) - 1), i -> i = 0 or shiftright({g}[i], 24) <> shiftright({g}[greatest(i - 1, 0)], 24)))",
+        b: f"if(size({g}) = 0, cast(array() as array<int>), filter(sequence(0, size({g}) - 1), i -> i = 0 or shiftright({g}[i], 32) <> shiftright({g}[greatest(i - 1, 0)], 32)))",
     }
     for name, sql in steps.items():
         df = df.withColumn(name, F.expr(sql))
@@ -55,7 +59,7 @@ def fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
     near = f"if(p > 0 and p < size({s}) and {b}[cast(least(p, size({b}) - 1) as int)] = j, slice({s}, cast(p as int), {TUPLE}), {least})"
     pick = f"transform(array(array_position({b}, j)), p -> {near})[0]"
     ordered = f"if(size(q) < 2 or (q[0] & {_POS}) <= (q[1] & {_POS}), q, reverse(q))"
-    hashed = f"cast(xxhash64(transform({ordered}, x -> x & {_HASH})) & 65535 as int)"
+    hashed = f"cast(shiftright(xxhash64(transform({ordered}, x -> x & {_HASH})), 32) as int)"
     picked = f"if(size({s}) = 0, array_repeat(0, {SKETCHES}), transform(transform(sequence(0, {SKETCHES - 1}), j -> {pick}), q -> {hashed}))"
     return df.withColumn(to, F.expr(picked)).drop(w, h, g, b, s)
 
@@ -66,21 +70,28 @@ def likeness(a: str, b: str) -> Column:
 
 
 def as_text(a: str) -> Column:
-    return F.expr(f"array_join(transform({a}, x -> lpad(lower(hex(x)), 4, '0')), '')")
+    return F.expr(f"array_join(transform({a}, x -> lpad(lower(hex(x & 4294967295L)), 8, '0')), '')")
 
 
 def with_next(df: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
     """``df`` with ``next_<c>`` for each of ``columns``: c of the next row by descending key; after the last, of the first.
 
     Null keys come last; rows with one key are in descending order of ``columns[0]``. The rows are dealt into groups of
-    about GROUP neighbouring keys, and a copy of each group's first row also goes to the group before it, so
+    about GROUP neighbouring keys, of equal width between two of QUANTILES quantiles of all keys, so that outlying keys
+    don't put the others into one group. A copy of each group's first row also goes to the group before it, so
     that one shuffle serves all and no task sees more than its groups.
     """
     scratch = Scratch(df.sparkSession)
-    ends = df.agg(F.min(key), F.max(key), F.count("*")).first()
-    low, high, n = (ends[0] or 0), (ends[1] or 0), max(ends[2], 1)
-    width = max(1, -(-(high - low + 1) * GROUP // n))
-    group = F.coalesce(F.floor((F.col(key).cast("decimal(20,0)") - low) / width).cast("bigint"), F.lit(-1))
+    n = max(df.count(), 1)
+    q = max(1, min(QUANTILES, n // GROUP))
+    found = df.agg(F.percentile_approx(key, [i / q for i in range(q)], 10 * QUANTILES), F.max(key)).first()
+    bounds = sorted(set(found[0] or [0]))
+    parts = -(-n // (q * GROUP))  # groups between two bounds, of equal width
+    ends = F.lit([*bounds, (found[1] or 0) + 1])
+    at = F.size(F.filter(F.lit(bounds), lambda x: x <= F.col(key)))
+    low, high = (F.element_at(ends, at + i).cast("decimal(20,0)") for i in (0, 1))
+    within = F.floor((F.col(key).cast("decimal(20,0)") - low) / F.greatest(F.lit(1), F.ceil((high - low) / parts))).cast("bigint")
+    group = F.when(F.col(key).isNull(), F.lit(-1).cast("bigint")).otherwise(at * F.lit(parts + 1) + within)
     down = Window.orderBy(F.col("group").desc())
     firsts = df.groupBy(group.alias("group")).agg(F.max(key).alias("first"))
     before = F.coalesce(F.lag("group").over(down), F.min("group").over(Window.partitionBy()))
