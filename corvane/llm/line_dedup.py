@@ -29,7 +29,7 @@ from corvane.llm.words import hashed, pieces
 #: Jaccard, as a fraction of integers.
 NUM, DEN = 4, 5
 RARITY = 1 << 19
-BEST, UNIT = 4, 8192
+BEST, MORE, UNIT = 4, 64, 8192
 _PART = 1 << 12
 #: Classes of rarity: steps of the logarithm to the base 2 of a word's count.
 CLASSES, STEPS = 64, 1.5
@@ -361,8 +361,11 @@ def kept_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     shown = classes.where("size(prefix) > 0").select(F.explode("prefix").alias("key"), "p0", "p1", "doc", "line").withColumn("token", F.expr(TOKEN))
     # Words with many rows, none of which can be rare: their rows are dealt out to units.
     hot = scratch.save(shown.where(F.expr(OCCURS) * 2 > UNIT).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > UNIT))
-    few = hot.count() <= BROADCAST_ROWS
-    shown = shown.join(F.broadcast(hot) if few else hot, "token", "left").withColumn("units", F.coalesce(F.ceil(F.col("n") / UNIT), F.lit(1)).cast("int")).drop("n")
+    n_hot = hot.count()
+    if n_hot:
+        shown = shown.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, "token", "left").withColumn("units", F.coalesce(F.ceil(F.col("n") / UNIT), F.lit(1)).cast("int")).drop("n")
+    else:
+        shown = shown.withColumn("units", F.lit(1))
     own = F.expr("cast(pmod(xxhash64(doc, line), units) as int)")
     pair = "token bigint, xd bigint, xl int, yd bigint, yl int, more boolean"
     near = shown.repartition(F.col("token"), own).select(own.alias("unit"), "key", "units", "p0", "p1", "doc", "line").sortWithinPartitions("unit", "key").mapInArrow(_within(BEST), pair)
@@ -378,7 +381,7 @@ def kept_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         if left.isEmpty():
             break
         # The partners in all units of the lines whose first ones didn't match, more of them each time.
-        best *= 8
+        best *= MORE
         few = left.count() <= BROADCAST_ROWS
         mine = scratch.save(shown.join(F.broadcast(left) if few else left, ["token", "doc", "line"], "left_semi"))
         tokens = scratch.save(mine.select("token").distinct())
