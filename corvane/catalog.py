@@ -18,16 +18,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def whole_sql(name: str, *filters: str) -> str:
-    """The SQL of the query ``name`` without these filters."""
-    sql = _SQL[name]
-    for f in filters:
-        if sql.count(f) != 1:
-            raise ValueError(f"{name} hasn't one {f!r}")
-        sql = sql.replace(f, "")
-    return sql
-
-
 def _load() -> None:
     from corvane.plans import maintenance, relational, retrieval, upkeep, vectors  # noqa: F401
 

@@ -20,6 +20,7 @@ RRF_K = 60
 WEIGHTS = {"flag": 3.0, "vec": 2.0, "name": 2.0, "fts": 1.0, "trgm": 1.0, "fts_any": 0.0}
 POOL, SKIP_SHARE, ANY_ROWS, NAME_FUZZY, NAME_SIMILAR = 40, 0.01, 20_000, 0.45, 0.9
 SLOT_SHARE, SLOT_DEPTH, SLOT_PLACE = 0.5, 30, 3
+# Sections that answer few queries, queries that ask for them, and sections by what a query asks.
 BOILERPLATE = r"(^|: )(authors?|copyright|reporting bugs|colophon|see also|history|revision history|license|availability|bugs)$"
 ASKS_BOILERPLATE = r"(?i)author|copyright|bug|histor|licen|see also|related"
 SECTION_WORDS = (
@@ -29,6 +30,7 @@ SECTION_WORDS = (
     ("(?i)consequence|impact", ("consequences",)),
     ("(?i)platform", ("platforms",)),
 )
+# The words that the any-word lane passes over.
 STOP_WORDS = frozenset(
     "how what when where which does that this with from into have your about than then them they will would could should there their being these those "
     "without while also like make need want just only over such some more most other very can you the and for are but not".split()

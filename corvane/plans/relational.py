@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corvane.catalog import query, whole_sql
+from corvane.catalog import query
 from corvane.operators import sampling
 from corvane.plans.common import table as T
 
@@ -218,14 +218,8 @@ def j16(spark, d):
 
 
 @query("j17_bookmarks", """with b as (select distinct user_id, event_id % 500 as doc_id from events where event_type = 'click')
-select user_id, doc_id, source, md5(text) as body_hash from b join documents using (doc_id) where user_id % 10 = 3""")
+select user_id, doc_id, source, md5(text) as body_hash from b join documents using (doc_id)""")
 def j17(spark, d):
-    b = T(spark, d, "events").where("event_type = 'click' and user_id % 10 = 3").select("user_id", (F.col("event_id") % 500).alias("doc_id")).distinct()
-    return b.join(T(spark, d, "documents"), "doc_id").select("user_id", "doc_id", "source", F.md5("text").alias("body_hash"))
-
-
-@query("j17_bookmarks_whole", whole_sql("j17_bookmarks", " where user_id % 10 = 3"))
-def j17_whole(spark, d):
     b = T(spark, d, "events").where("event_type = 'click'").select("user_id", (F.col("event_id") % 500).alias("doc_id")).distinct()
     return b.join(T(spark, d, "documents"), "doc_id").select("user_id", "doc_id", "source", F.md5("text").alias("body_hash"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corvane.catalog import query, whole_sql
+from corvane.catalog import query
 from corvane.functions import text as X
 from corvane.functions import trigram
 from corvane.operators import retrieval as R
@@ -48,7 +48,7 @@ def t4(spark, d):
     return T(spark, d, "pages").select("page_id", X.clean(F.col("html")).alias("cleaned"))
 
 
-@query("t5_long_enough", "select doc_id from documents where length(trim(text)) > 200")
+@query("t5_long_enough", r"select doc_id from documents where length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 200")
 def t5(spark, d):
     return T(spark, d, "documents").where(X.long_enough(F.col("text"), 200)).select("doc_id")
 
@@ -79,28 +79,14 @@ def t9(spark, d):
     return T(spark, d, "events").select("event_id", k.alias("k"), F.get_json_object(made, "$.type").alias("type"), F.get_json_object("props", "$.none").isNull().alias("missing"))
 
 
-@query("t10_dates", """select event_id, ts::date as day, ts + interval 36 hours as later, date_trunc('hour', ts) as hour, date_diff('day', date '2024-01-01', ts::date) as age from events where event_id % 10 = 0""")
+@query("t10_dates", """select event_id, ts::date as day, ts + interval 36 hours as later, date_trunc('hour', ts) as hour, date_diff('day', date '2024-01-01', ts::date) as age from events""")
 def t10(spark, d):
-    e = T(spark, d, "events").where("event_id % 10 = 0")
-    return e.select("event_id", F.to_date("ts").alias("day"), (F.col("ts") + F.expr("interval 36 hours")).alias("later"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("bigint").alias("age"))
-
-
-@query("t10_dates_whole", whole_sql("t10_dates", " where event_id % 10 = 0"))
-def t10_whole(spark, d):
     e = T(spark, d, "events")
     return e.select("event_id", F.to_date("ts").alias("day"), (F.col("ts") + F.expr("interval 36 hours")).alias("later"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("bigint").alias("age"))
 
 
-@query("t11_math", "select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as net, l_orderkey % 13 as rest, least(l_quantity, 20.0) as capped, ceil(l_quantity / 7)::bigint as packs, round_even(l_quantity / 2, 0) as half from lineitem where l_orderkey % 20 = 0")
+@query("t11_math", "select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as net, l_orderkey % 13 as rest, least(l_quantity, 20.0) as capped, ceil(l_quantity / 7)::bigint as packs, round_even(l_quantity / 2, 0) as half from lineitem")
 def t11(spark, d):
-    q = F.col("l_quantity")
-    return T(spark, d, "lineitem").where("l_orderkey % 20 = 0").select(
-        "l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("net"), (F.col("l_orderkey") % 13).alias("rest"),
-        F.least(q, F.lit(20.0)).alias("capped"), F.ceil(q / 7).cast("bigint").alias("packs"), F.rint(q / 2).alias("half"))
-
-
-@query("t11_math_whole", whole_sql("t11_math", " where l_orderkey % 20 = 0"))
-def t11_whole(spark, d):
     q = F.col("l_quantity")
     return T(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("net"), (F.col("l_orderkey") % 13).alias("rest"),
@@ -306,20 +292,11 @@ def h19(spark, d):
     return R.rerank(rows).select("query_id", "id", "place")
 
 
-@query("h17_representative", """with r as (select d.source as query_id, d.lang as id, doc_id as ref_id, split_part(text, ' ', 1) as name, doc_id % 10 = 0 as named, text from documents d where doc_id < 300 and regexp_matches(split_part(text, ' ', 1), '^[A-Za-z]+$')),
-u as (select *, len(regexp_extract_all(lower(text), '\\b' || lower(name) || '\\b')) as uses from r), o as (select *, row_number() over (partition by query_id, id order by named desc, length(name), ref_id) as x from u)
-select query_id, id, ref_id, name, named from o where x = 1""")
-def h17(spark, d):
-    first = F.split_part("text", F.lit(" "), F.lit(1))
-    rows = T(spark, d, "documents").where(F.col("doc_id") < 300).select(F.col("source").alias("query_id"), F.col("lang").alias("id"), F.col("doc_id").alias("ref_id"), first.alias("name"), (F.col("doc_id") % 10 == 0).alias("named"), first.alias("text"))
-    return R.representative(rows.where(F.col("name").rlike("^[A-Za-z]+$"))).select("query_id", "id", "ref_id", "name", "named")
-
-
-@query("h17_whole_texts", r"""with w as (select source as query_id, doc_id as id, lower(text) as low, string_split(text, chr(10)) as ls from documents), l as (select query_id, id, low, unnest(ls) as line, unnest(range(1, len(ls) + 1)) as ref_id from w),
+@query("h17_representative", r"""with w as (select source as query_id, doc_id as id, lower(text) as low, string_split(text, chr(10)) as ls from documents), l as (select query_id, id, low, unnest(ls) as line, unnest(range(1, len(ls) + 1)) as ref_id from w),
 r as (select query_id, id, ref_id, split_part(line, ' ', 1) as name, ref_id % 10 = 0 as named, low from l where regexp_matches(split_part(line, ' ', 1), '^[A-Za-z]+$')),
 u as (select *, len(list_filter(regexp_extract_all(low, '[A-Za-z0-9_-]+'), lambda x: x = lower(name))) as uses from r), o as (select *, row_number() over (partition by query_id, id order by named desc, uses desc, length(name), ref_id) as x from u)
 select query_id, id, ref_id, name, named, uses from o where x = 1""")
-def h17_whole(spark, d):
+def h17(spark, d):
     """Of the first words of a text's lines, the one that names it best; uses are counted in the whole text, of all documents."""
     lines = F.posexplode(F.split("text", "\n", -1)).alias("at", "line")
     rows = T(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), "text", lines)
@@ -330,21 +307,11 @@ def h17_whole(spark, d):
 
 
 @query("h18_boosts", r"""with s as (select event_id, event_type, value, case event_id % 6 when 0 then 'overview' when 1 then 'nmap(1): description' when 2 then 'detection' when 3 then 'tool: see also' when 4 then 'examples' else 'options' end as section,
-case event_id % 4 when 0 then 'nmap' when 1 then 'how to detect it' when 2 then 'CVE-2021-44228' else 'option -x' end as query, case when event_id % 3 = 0 then '-x does it' when event_id % 3 = 1 then 'see' || chr(10) || '  -x does it' else 'none -x' end as text from events where event_id % 5 = 0)
+case event_id % 4 when 0 then 'nmap' when 1 then 'how to detect it' when 2 then 'CVE-2021-44228' else 'option -x' end as query, case when event_id % 3 = 0 then '-x does it' when event_id % 3 = 1 then 'see' || chr(10) || '  -x does it' else 'none -x' end as text from events)
 select event_id, round(round(value / 1000, 9) + case when query = 'nmap' and section = 'overview' then 0.3 when query = 'nmap' and section like '%: description' then 0.1 else 0 end
 + case when query = 'option -x' and event_id % 3 < 2 then 0.1 else 0 end + case when query = 'option -x' and event_id % 3 = 0 then 0.1 else 0 end + case when query like 'CVE%' and section = 'overview' then 0.15 else 0 end
 + case when query = 'how to detect it' and section = 'detection' then 0.15 else 0 end - case when section like '%see also' then 1.0 else 0 end, 9) as score from s""")
 def h18(spark, d):
-    i = F.col("event_id")
-    pick = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (i % n + 1).cast("int"))
-    rows = T(spark, d, "events").where("event_id % 5 = 0").select(
-        "event_id", F.round(F.col("value") / 1000, 9).alias("score"), pick(6, "overview", "nmap(1): description", "detection", "tool: see also", "examples", "options").alias("section"),
-        pick(4, "nmap", "how to detect it", "CVE-2021-44228", "option -x").alias("query"), pick(3, "-x does it", "see\n  -x does it", "none -x").alias("text"))
-    return R.boosts(rows.withColumn("name_query", F.col("query") == "nmap")).select("event_id", "score")
-
-
-@query("h18_boosts_whole", whole_sql("h18_boosts", " where event_id % 5 = 0"))
-def h18_whole(spark, d):
     i = F.col("event_id")
     pick = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (i % n + 1).cast("int"))
     rows = T(spark, d, "events").select(
@@ -384,24 +351,18 @@ def h25(spark, d):
     return R.hits_and_mrr(found, rel, by=("config",))
 
 
-@query("h26_lexical_baseline", r"""with q as (select item_id as query_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as ws from benchmark where item_id < 10), w as (select query_id, unnest(ws) as word from q),
+@query("h26_lexical_baseline", r"""with q as (select item_id as query_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as ws from benchmark), w as (select query_id, unnest(ws) as word from q),
 p as (select p_partkey as id, unnest(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[\p{L}\p{N}_]+'))) as word from part) select query_id, id, count(*) as n from w join p using (word) group by query_id, id""")
 def h26(spark, d):
-    q = T(spark, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), "text")
-    p = T(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(F.array_distinct(X.words(F.concat("p_name", F.lit(" "), "p_type")))).alias("word"))
-    return R.query_terms(q).join(p, "word").groupBy("query_id", "id").agg(F.count("*").alias("n"))
-
-
-@query("h26_lexical_baseline_whole", whole_sql("h26_lexical_baseline", " where item_id < 10"))
-def h26_whole(spark, d):
     q = T(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     p = T(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(F.array_distinct(X.words(F.concat("p_name", F.lit(" "), "p_type")))).alias("word"))
     return R.query_terms(q).join(p, "word").groupBy("query_id", "id").agg(F.count("*").alias("n"))
 
 
-@query("h23_topic_page", """select source as name, lang as section, count(*) as chunks, list(doc_id order by doc_id) as ids from (select * from documents where source = 'src3' order by doc_id limit 600) group by source, lang""")
+@query("h23_topic_page", """select source as name, lang as section, count(*) as chunks, list(doc_id order by doc_id) as ids from (select *, row_number() over (partition by source order by doc_id) as place from documents) where place <= 600 group by source, lang""")
 def h23(spark, d):
-    rows = T(spark, d, "documents").where("source = 'src3'").orderBy("doc_id").limit(600)
+    """The page of each topic, of its first 600 passages."""
+    rows = T(spark, d, "documents").select("doc_id", "source", "lang").withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("place <= 600")
     return rows.groupBy(F.col("source").alias("name"), F.col("lang").alias("section")).agg(F.count("*").alias("chunks"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
 
 

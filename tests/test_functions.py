@@ -47,6 +47,15 @@ def test_display_blocks():
     assert [x[0] for x in got] == ["p", "li", "li", "code", "code", "term", "p", "p"] and got[2][1] == "second goes on" and got[-1][1] == "Usage:"
     assert text.display_blocks("T1055 Injection\nPlatforms: Linux\n- one", "attack") == [("term", "T1055 Injection", ""), ("kv", "Linux", "Platforms"), ("li", "one", "")]
     assert text.display_blocks("") == text.display_blocks(None) == []
+    assert text.display_blocks("to re-\nmain and well-\nknown things") == [("p", "to remain and well-known things", "")]
+    assert text.display_blocks("1. one\n   more\n2. two\n\nNAME\n\n    what it is.") == [("li", "one more", ""), ("li", "two", ""), ("term", "NAME", ""), ("p", "what it is.", "")]
+    assert text.display_blocks("  int main(void) {\n    return 0;\n  }") == [("code", "int main(void) {\n  return 0;\n}", "")]
+
+
+def test_white_space_is_trimmed(spark):
+    rows = spark.createDataFrame([(1, "\n\t" + "x" * 20 + "\u00a0 \n"), (2, "\n" + "x" * 21 + "\r\n"), (3, None)], "id int, t string")
+    assert [r["id"] for r in rows.where(text.long_enough(F.col("t"))).collect()] == [2]
+    assert rows.limit(1).select(text.extract_flags(F.lit("é-x and -y"))).first()[0] == ["-y"]
 
 
 def test_trigrams(spark):
@@ -204,5 +213,5 @@ def test_representative_counts_uses_in_the_whole_text(spark, tmp_path):
     text = "ls lists\nvdir is like dir and vdir\ndir: see vdir, not vdir-x\n"
     rows = [(i, text if i % 400 else "dir one\nvdir two dir\n", "en", "s") for i in (0, 1, 299, 300, 5000)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["id"]: (r["name"], r["uses"]) for r in catalog.queries()["h17_whole_texts"](spark, str(tmp_path)).collect()}
+    got = {r["id"]: (r["name"], r["uses"]) for r in catalog.queries()["h17_representative"](spark, str(tmp_path)).collect()}
     assert got == {0: ("dir", 2), 1: ("vdir", 3), 299: ("vdir", 3), 300: ("vdir", 3), 5000: ("vdir", 3)}
