@@ -29,7 +29,7 @@ from corvane.llm.words import hashed, pieces
 #: Jaccard, as a fraction of integers.
 NUM, DEN = 4, 5
 RARITY = 1 << 19
-BEST, MORE, UNIT = 4, 64, 8192
+BEST, MORE, UNIT = 4, 16, 8192
 _PART = 1 << 12
 #: Classes of rarity: steps of the logarithm to the base 2 of a word's count.
 CLASSES, STEPS = 64, 1.5
@@ -183,7 +183,7 @@ def _passes(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def _within(best: int):
-    """Of the rows of each unit, sorted by (unit, word, size): partners of each later line that pass the filters."""
+    """Of the rows of each unit, sorted by (word, unit, size): partners of each later line that pass the filters."""
 
     def run(batches):
         for rows in _whole_units(batches, 7):
@@ -235,7 +235,7 @@ def _partners(rows: list[np.ndarray], best: int) -> pa.RecordBatch:
 
 
 def _across(best: int):
-    """Of the rows of each unit, sorted by (unit, word, side): partners in side 0, all of a unit of a word, of each row of side 1."""
+    """Of the rows of each unit, sorted by (word, unit, side): partners in side 0, all of a unit of a word, of each row of side 1."""
 
     def run(batches):
         held: list[np.ndarray] | None = None
@@ -368,7 +368,12 @@ def kept_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         shown = shown.withColumn("units", F.lit(1))
     own = F.expr("cast(pmod(xxhash64(doc, line), units) as int)")
     pair = "token bigint, xd bigint, xl int, yd bigint, yl int, more boolean"
-    near = shown.repartition(F.col("token"), own).select(own.alias("unit"), "key", "units", "p0", "p1", "doc", "line").sortWithinPartitions("unit", "key").mapInArrow(_within(BEST), pair)
+    columns = ["key", "p0", "p1", "doc", "line"]
+    if n_hot:
+        near = shown.repartition(F.col("token"), own).withColumn("unit", own).sortWithinPartitions("token", "unit", "key")
+    else:
+        near = shown.select(*columns).repartition(F.expr(TOKEN)).sortWithinPartitions("key").withColumn("unit", F.lit(0)).withColumn("units", F.lit(1))
+    near = near.select("unit", "key", "units", *columns[1:]).mapInArrow(_within(BEST), pair)
     near = scratch.save(near)
     gone, best = None, BEST
     while True:
@@ -388,7 +393,7 @@ def kept_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         theirs = shown.join(F.broadcast(tokens) if tokens.count() <= BROADCAST_ROWS else tokens, "token", "left_semi")
         both = theirs.select(own.alias("unit"), "key", F.lit(0).alias("side"), "p0", "p1", "doc", "line")
         both = both.unionByName(mine.withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("units") - 1))).select("unit", "key", F.lit(1).alias("side"), "p0", "p1", "doc", "line"))
-        both = both.repartition(F.expr(TOKEN), F.col("unit")).sortWithinPartitions(F.col("unit"), F.expr(TOKEN), F.col("side"))
+        both = both.repartition(F.expr(TOKEN), F.col("unit")).sortWithinPartitions(F.expr(TOKEN), F.col("unit"), F.col("side"))
         near = scratch.save(both.mapInArrow(_across(best), pair))
         scratch.drop(mine, tokens, left)
     gone = gone.select(F.col("xd").alias("doc"), F.col("xl").alias("line"))
