@@ -550,9 +550,9 @@ def test_substring_dedup_edges(spark):
 
 
 def test_cut_spans():
-    assert paragraph_dedup._without_spans(" ".join(map(str, range(30))), [5]) == "0 1 2 3 4 25 26 27 28 29"
-    assert paragraph_dedup._without_spans(" ".join(map(str, range(30))), [5, 9]) == "0 1 2 3 4 29"
-    assert paragraph_dedup._without_spans(None, [1]) is None
+    assert paragraph_dedup._without_spans(" ".join(map(str, range(30))), [5], [20]) == "0 1 2 3 4 25 26 27 28 29"
+    assert paragraph_dedup._without_spans(" ".join(map(str, range(30))), [5, 9], [20, 20]) == "0 1 2 3 4 29"
+    assert paragraph_dedup._without_spans(None, [1], [1]) is None
 
 
 # -- queries and the pipeline ---------------------------------------------------------------------------
