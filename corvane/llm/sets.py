@@ -61,9 +61,9 @@ class Forest:
         return a != b
 
 
-def links(sets: list[np.ndarray], ids: list[int], label: list[int], asked: list[bool], alone: list[bool]) -> Iterator[tuple[int, int]]:
-    """Pairs of ids of ``sets`` that are alike, of which one is ``asked``: a forest of those whose labels aren't connected yet,
-    and for each that is ``alone`` its least partner of a lesser id.
+def links(sets: list[np.ndarray], ids: list[int], label: list[int], asked: list[bool], alone: list[bool], rank: list[int]) -> Iterator[tuple[int, int]]:
+    """Pairs of ids of ``sets`` that are alike, of which one is ``asked`` or ``alone``: a forest of those whose labels aren't connected yet,
+    and for each that is ``alone`` its partner of the least rank, if that is less than its own.
 
     Intersections are counted exactly, by an index from the elements to the sets.
     """
@@ -76,7 +76,7 @@ def links(sets: list[np.ndarray], ids: list[int], label: list[int], asked: list[
     order = np.argsort(element, kind="stable")
     posting, start = owner[order], np.concatenate([[0], np.cumsum(uses)])
     first = np.concatenate([[0], np.cumsum(size)])
-    for x in np.flatnonzero(asked):
+    for x in np.flatnonzero(np.array(asked) | np.array(alone)):
         mine = element[first[x] : first[x + 1]]
         mine = mine[uses[mine] > 1]
         if not len(mine):
@@ -85,88 +85,167 @@ def links(sets: list[np.ndarray], ids: list[int], label: list[int], asked: list[
         shared[x] = 0
         near = np.flatnonzero(100 * shared >= 75 * (size[x] + size - shared))
         if alone[x]:
-            least = min((ids[y] for y in near if ids[y] < ids[x]), default=None)
+            least = min((y for y in near if rank[y] < rank[x]), key=rank.__getitem__, default=None)
             if least is not None:
-                yield least, ids[x]
+                yield min(ids[x], ids[least]), max(ids[x], ids[least])
         for y in near:
             if forest.join(group[x], group[y]):
                 yield min(ids[x], ids[y]), max(ids[x], ids[y])
 
 
 ALIKE = "100 * shared >= 75 * (size(sa) + size(sb) - shared)"
-
-
-def link_colliding(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch, unlinked: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+#: Bits of one sketch that the other hasn't are elements that the other hasn't: what is alike always passes.
+MAY_BE = "7 * (na - bit_count(xa & ~xb) - bit_count(ya & ~yb)) >= 3 * (na + nb) and 7 * (nb - bit_count(xb & ~xa) - bit_count(yb & ~ya)) >= 3 * (na + nb)"
+#: Rows of units, and pairs of them, whose sketches are compared at once.
+UNIT_ROWS, UNIT_PAIRS = 50_000, 1_000_000
+
+
+def sketched(elements: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many different elements each row of 32-bit hashes has, and which of 128 places they take: 64 bits and 64 more."""
+    ordered = np.sort(elements, axis=1)
+    n = 1 + (ordered[:, 1:] != ordered[:, :-1]).sum(axis=1)
+    bit, half = np.uint64(1) << (elements & np.uint32(63)).astype(np.uint64), elements & np.uint32(64) > 0
+    x, y = (np.bitwise_or.reduce(np.where(at, bit, np.uint64(0)), axis=1) for at in (~half, half))
+    return n, x, y
+
+
+def link_colliding(
+    keys: DataFrame,
+    sets_of: Callable[[DataFrame | None], DataFrame],
+    scratch: Scratch,
+    sketches: DataFrame | None = None,
+    unlinked: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """The sets that are alike (Jaccard 0.75 or more) among those that collide in a key.
 
-    ``keys(key, id)`` has a row for each band of each set and is read twice, ``sets_of(ids)`` adds the distinct elements ``s`` of each set to ``ids(id)``.
-    Returns ``(components, links)``: ``components(id, component)`` of the sets with a link, ``component`` being the least id
-    reachable; ``links(a, b)``, ``a < b``, which connect them. ``unlinked(components, links)`` may name sets (``id``) of which the
-    least partner of all is asked for, if there is one.
+    ``keys(key, id)`` has a row for each band of each set and is read twice; of a ``place`` with it the least names a bucket's hub in place of the least id.
+    ``sets_of(ids)`` adds the distinct elements ``s`` of each set to ``ids(id)``. Returns ``(components, links)``: ``components(id, component)`` of the sets with a link, ``component`` being the least id
+    reachable; ``links(a, b)``, ``a < b``, which connect them. ``sketches(id, rank, n, x, y)`` may give the size and the 128 bits (``sketched``)
+    of each set: only pairs that these don't rule out are then joined with their elements, which are those of ``sets_of(None)``, of all sets.
+    ``unlinked(components, links)`` may add to the components which sets are ``alone``: in the buckets that are compared in full, the partner of the least
+    rank is given for them too, if that is less than their own. Sets that it says ``opens`` of have theirs compared in any case; those without a link yet are alone.
 
-    Every set of a bucket is compared with the bucket's least id: a bucket of n sets takes n - 1 comparisons, and copies in any
-    number are done. The rest is exact too: where sets of a bucket aren't connected by then (or named by ``unlinked``), these are
+    Every set of a bucket is compared with the bucket's hub: a bucket of n sets takes n - 1 comparisons, and copies in any
+    number are done. The rest is exact too: where sets of a bucket aren't connected by then (or open it), these are
     compared with all others of the bucket, in tasks of two blocks of bounded size.
     """
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    met = scratch.save(keys.join(hubs, "key"))
+    hub = F.min_by("id", "place") if "place" in keys.columns else F.min("id")
+    hubs = keys.groupBy("key").agg(hub.alias("hub"), F.count("*").alias("members")).where("members > 1")
+    met = scratch.save(keys.select("key", "id").join(hubs, "key"))
     pairs = scratch.save(met.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    sets = scratch.save(sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))
+    if sketches is None:
+        sets = scratch.save(sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))
+        about = sets.select("id", F.col("id").alias("rank"), F.size("s").alias("n"), F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"))
+    else:
+        sets, about = sets_of(None), sketches
+        end = lambda z: about.select(F.col("id").alias(z), *[F.col(c).alias(f"{c}{z}") for c in "nxy"])
+        near = scratch.save(pairs.join(end("b"), "b").join(end("a"), "a").where(MAY_BE).select("a", "b"))
+        scratch.drop(pairs)
+        pairs = near
     side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     edges = scratch.save(both.where(ALIKE).select("a", "b"))
     scratch.drop(pairs)
     found = scratch.save(components(edges, scratch))
     # Buckets of three or more sets, some of which are still apart.
-    rows = met.where("members > 2").join(found, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    labels = found.withColumn("alone", F.lit(False)).withColumn("opens", F.lit(False)) if unlinked is None else scratch.save(unlinked(found, edges))
+    rows = met.where("members > 2").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     rows = rows.join(found.select(F.col("id").alias("hub"), F.col("component").alias("hub_label")), "hub", "left")
-    asked = F.col("label") != F.coalesce("hub_label", "hub")
-    if unlinked is None:
-        rows = rows.withColumn("alone", F.lit(False))
-    else:
-        alone = scratch.save(unlinked(found, edges))
-        few = alone.count() <= BROADCAST_ROWS
-        alone = alone.withColumn("alone", F.lit(True))
-        rows = rows.join(F.broadcast(alone) if few else alone, "id", "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
-    rows = rows.withColumn("asked", (F.col("id") != F.col("hub")) & (asked | F.col("alone")))
+    rows = rows.withColumn("alone", F.coalesce("alone", F.lit(unlinked is not None)))
+    rows = rows.withColumn("asked", ((F.col("id") != F.col("hub")) & (F.col("label") != F.coalesce("hub_label", "hub"))) | F.coalesce("opens", F.lit(False)))
     rows = scratch.save(rows.select("key", "id", "label", "asked", "alone"))
+    scratch.drop(met)
     # Of buckets with the same members one is enough.
     kinds = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"), F.max("asked").alias("open")).where("open")
     kinds = kinds.groupBy("n", "h").agg(F.min("key").alias("key")).select("key")
-    rows = rows.join(kinds, "key")
-    sized = rows.join(sets.select("id", F.size("s").alias("n")), "id")
+    sized = rows.join(kinds, "key").join(about, "id")
     blocks = sized.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK)).cast("int").alias("blocks"))
     dealt = sized.join(blocks, "key").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    dealt = scratch.save(dealt.select("key", "id", "label", "asked", "alone", "block", "blocks"))
+    dealt = scratch.save(dealt)
+    scratch.drop(rows)
+    other = F.expr("explode(transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j)))")
+
+    def units(dealt: DataFrame, *columns: str) -> DataFrame:
+        out = dealt.withColumn("u", other).select("key", "u.i", "u.j", "id", "label", "asked", "alone", "rank", *columns)
+        return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    if sketches is not None:
+        hit = units(dealt, "n", "x", "y").mapInArrow(tidy(_hit), "key bigint, id bigint").distinct()
+        left = scratch.save(dealt.join(hit, ["key", "id"], "left_semi"))
+        scratch.drop(dealt)
+        dealt = left
     if dealt.isEmpty():
-        scratch.drop(met, sets, rows, dealt)
+        scratch.drop(dealt)
         return found, edges
-    other = F.expr("explode(transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j)))")
-    units = dealt.join(sets, "id").withColumn("u", other).select("key", "u.i", "u.j", "id", "label", "asked", "alone", "s")
-    units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = scratch.save(units.mapInArrow(tidy(_linked), "a bigint, b bigint"))
-    scratch.drop(met, sets, rows, dealt, found)
+    more = scratch.save(units(dealt.join(sets, "id"), "s").mapInArrow(tidy(_linked), "a bigint, b bigint"))
+    scratch.drop(sets, dealt, found)
     edges = edges.unionByName(more)
     return components(edges, scratch), edges
 
 
+def _hit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of units that may have a link to find, by their sketches; units come one after the other."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= UNIT_ROWS:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            last = int(_unit_begins(rows)[-1])
+            yield _hits(rows.slice(0, last))
+            held = [rows.slice(last)]
+    if sum(x.num_rows for x in held):
+        yield _hits(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def _unit_begins(rows: pa.RecordBatch) -> np.ndarray:
+    unit = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(3)])
+    return np.flatnonzero(np.concatenate([[True], (unit[:, 1:] != unit[:, :-1]).any(axis=0)])[: rows.num_rows])
+
+
+def _hits(rows: pa.RecordBatch) -> pa.RecordBatch:
+    total = rows.num_rows
+    begins = _unit_begins(rows) if total else np.empty(0, np.int64)
+    size = np.diff(np.append(begins, total))
+    begin, size = np.repeat(begins, size), np.repeat(size, size)
+    label, rank, n = (rows.column(k).to_numpy().astype(np.int64) for k in (4, 7, 8))
+    asked, alone = (rows.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (5, 6))
+    x, y = (rows.column(k).to_numpy().view(np.uint64) for k in (9, 10))
+    lacks = lambda a, b: np.bitwise_count(x[a] & ~x[b]).astype(np.int64) + np.bitwise_count(y[a] & ~y[b])
+    hit = np.zeros(total, bool)
+    who = np.flatnonzero(asked | alone)
+    done = np.concatenate([[0], np.cumsum(size[who])])
+    i = 0
+    while i < len(who):
+        j = max(i + 1, int(np.searchsorted(done, done[i] + UNIT_PAIRS, "right")) - 1)
+        w, m = who[i:j], size[who[i:j]]
+        a = np.repeat(w, m)
+        b = np.repeat(begin[w] - (done[i:j] - done[i]), m) + np.arange(len(a))
+        some = (asked[a] & (label[a] != label[b])) | (alone[a] & (rank[b] < rank[a]))
+        a, b = a[some], b[some]
+        least = 3 * (n[a] + n[b])
+        near = (7 * (n[a] - lacks(a, b)) >= least) & (7 * (n[b] - lacks(b, a)) >= least)
+        hit[a[near]] = hit[b[near]] = True
+        i = j
+    return pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array(hit)), rows.column(3).filter(pa.array(hit))], names=["key", "id"])
+
+
 def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unit, rows = None, []
     out: list[tuple[int, int]] = []
 
     def flush():
         if len(rows) > 1 and any(r[2] for r in rows):
-            ids, label, asked, alone, sets = map(list, zip(*rows, strict=True))
-            out.extend(links(sets, ids, label, asked, alone))
+            ids, label, asked, alone, rank, sets = map(list, zip(*rows, strict=True))
+            out.extend(links(sets, ids, label, asked, alone, rank))
         rows.clear()
 
     for b in batches:
-        head = [b.column(k).to_pylist() for k in range(7)]
-        for k, (c, i, j, id_, label, asked, alone) in enumerate(zip(*head, strict=True)):
+        head = [b.column(k).to_pylist() for k in range(8)]
+        for k, (c, i, j, *row) in enumerate(zip(*head, strict=True)):
             if (c, i, j) != unit:
                 flush()
                 unit = c, i, j
-            rows.append((id_, label, asked, alone, b.column(7)[k].values.to_numpy(zero_copy_only=False)))
+            rows.append((*row, b.column(8)[k].values.to_numpy(zero_copy_only=False)))
         if out:
             yield _pairs(out)
             out.clear()
