@@ -212,20 +212,25 @@ def _hits(rows: pa.RecordBatch) -> pa.RecordBatch:
     x, y = (rows.column(k).to_numpy().view(np.uint64) for k in (9, 10))
     lacks = lambda a, b: np.bitwise_count(x[a] & ~x[b]).astype(np.int64) + np.bitwise_count(y[a] & ~y[b])
     hit = np.zeros(total, bool)
-    who = np.flatnonzero(asked | alone)
-    done = np.concatenate([[0], np.cumsum(size[who])])
-    i = 0
-    while i < len(who):
-        j = max(i + 1, int(np.searchsorted(done, done[i] + UNIT_PAIRS, "right")) - 1)
-        w, m = who[i:j], size[who[i:j]]
-        a = np.repeat(w, m)
-        b = np.repeat(begin[w] - (done[i:j] - done[i]), m) + np.arange(len(a))
-        some = (asked[a] & (label[a] != label[b])) | (alone[a] & (rank[b] < rank[a]))
-        a, b = a[some], b[some]
-        least = 3 * (n[a] + n[b])
-        near = (7 * (n[a] - lacks(a, b)) >= least) & (7 * (n[b] - lacks(b, a)) >= least)
-        hit[a[near]] = hit[b[near]] = True
-        i = j
+
+    def mark(who: np.ndarray) -> None:
+        done = np.concatenate([[0], np.cumsum(size[who])])
+        i = 0
+        while i < len(who):
+            j = max(i + 1, int(np.searchsorted(done, done[i] + UNIT_PAIRS, "right")) - 1)
+            w, m = who[i:j], size[who[i:j]]
+            a = np.repeat(w, m)
+            b = np.repeat(begin[w] - (done[i:j] - done[i]), m) + np.arange(len(a))
+            some = (asked[a] & (label[a] != label[b])) | (alone[a] & (rank[b] < rank[a]))
+            a, b = a[some], b[some]
+            least = 3 * (n[a] + n[b])
+            near = (7 * (n[a] - lacks(a, b)) >= least) & (7 * (n[b] - lacks(b, a)) >= least)
+            hit[a[near]] = hit[b[near]] = True
+            i = j
+
+    mark(np.flatnonzero(asked))
+    if total:  # A set that isn't asked finds its partner where the unit has a new link at all.
+        mark(np.flatnonzero(alone & ~asked & np.repeat(np.logical_or.reduceat(hit, begins), np.diff(np.append(begins, total)))))
     return pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array(hit)), rows.column(3).filter(pa.array(hit))], names=["key", "id"])
 
 
