@@ -93,12 +93,13 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
-        """Delete tables of ``save`` that nothing reads any more."""
+        """Delete tables of ``save`` that nothing reads any more, and let shuffle files of finished plans go."""
         for df in tables:
             path = getattr(df, "_corvane_path", None)
             if path:
                 target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        self.spark._jvm.System.gc()  # Spark deletes shuffle files once the driver's collector finds them unused
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
