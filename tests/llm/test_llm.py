@@ -542,6 +542,29 @@ def test_substring_dedup_recall(spark):
         assert all(any(r["removed"] for r in got[i]) == (i % 2 == 1) for i in got)
 
 
+def test_open_buckets_give_pairs(monkeypatch):
+    """Of an open bucket only the pairs that sketches don't rule out are joined with their elements; a crowded one is handed on as a whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 32, 40, np.uint32)
+    elements = np.stack([np.concatenate([base[:k], rng.integers(0, 1 << 32, 40 - k, np.uint32)]) for k in (40, 39, 5, 38, 0, 37, 3, 36)])
+    n, x, y = sets.sketched(elements)
+    total = len(elements)
+    key, label, asked, alone = [7] * 6 + [8] * 2, [1, 2, 3, 1, 5, 6, 7, 8], [False, True, True, False, True, True, False, True], [False] * 5 + [True] * 3
+    columns = [key, [0] * total, [0] * total, range(total), label, asked, alone, range(total), n, x.view(np.int64), y.view(np.int64), [0, 1, 2, 3, 4, 1, 6, 7], [0] * total, [44] * total]
+    names = ["key", "i", "j", "id", "label", "asked", "alone", "rank", "n", "x", "y", "doc", "start", "stop"]
+    rows = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in columns], names=names)
+    got = {(r["a"], r["b"]) for r in sets._hits(rows).to_pylist() if r["key"] is None}
+    of = [set(e.tolist()) for e in elements]
+    alike = {(a, b) for b in range(total) for a in range(b) if key[a] == key[b] and 100 * len(of[a] & of[b]) >= 75 * len(of[a] | of[b])}
+    assert alike - {(0, 3)} <= got <= {(a, b) for a in (0, 1, 3, 5) for b in (0, 1, 3, 5) if a < b} - {(0, 3)}  # that pair has one label
+    monkeypatch.setattr(sets, "PAIRS_A_ROW", 0)
+    assert {(r["key"], r["a"], r["b"]) for r in sets._hits(rows).to_pylist()} == {(7, i, None) for i in (0, 1, 3, 5)}
+    assert sets._hits(rows.slice(0, 0)).num_rows == 0
+
+
 def test_substring_dedup_edges(spark):
     assert paragraph_dedup.repeats(docs(spark, []).limit(0)).count() == 0
     same = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "x " * 9)], "doc_id bigint, text string")
