@@ -29,7 +29,7 @@ from corvane.llm.common import bounded_batches, release, without
 PIECE = r" ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}++"
 
 #: Pieces of up to 64 characters remembered by a worker, in two generations: the older is dropped when the younger is full. The bound
-#: is about 30 MB each. As many pairs are remembered.
+#: is about 20 MB each. As many pairs are remembered.
 REMEMBERED = 100_000
 
 
@@ -41,17 +41,16 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class _Pieces(dict):
-    """The ids of pieces, as bytes of int32 and as decimals joined by commas."""
+    """The ids of pieces, as decimals joined by commas: one object a piece."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
         self.bpe, self.older = bpe, {}
 
-    def __missing__(self, piece: str) -> tuple[bytes, bytes]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            found = self.bpe.piece(piece.encode())
-            ids = np.array(found, np.int32).tobytes(), ",".join(map(str, found)).encode()
+            ids = ",".join(map(str, self.bpe.piece(piece.encode()))).encode()
         if len(piece) <= 64:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
@@ -71,13 +70,13 @@ class Bpe:
         self.bytes_of = {i: raw(t) for t, i in model["vocab"].items()}
         self.id_of = {b: i for i, b in self.bytes_of.items()}
         self.added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
-        self.merged: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merged: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             x, y = pair.split(" ") if isinstance(pair, str) else pair
             a, b = model["vocab"][x], model["vocab"][y]
             whole = model["vocab"][x + y]
-            self.merged[a, b] = (rank, whole)
+            self.merged[a << 32 | b] = rank
             self.parts.setdefault(whole, (a, b, rank))
         self.trie = ahocorasick.Automaton()
         for b, i in self.id_of.items():
@@ -114,8 +113,8 @@ class Bpe:
         # a pair that BPE merges before the next of the merges inside the two tokens takes place.
         bound = 1 << 60
         while True:
-            seam = self.merged.get((left, right))
-            if seam is not None and seam[0] < bound:
+            seam = self.merged.get(left << 32 | right)
+            if seam is not None and seam < bound:
                 return False
             l, r = self.parts.get(left), self.parts.get(right)
             if l is None and r is None:
@@ -157,19 +156,19 @@ class Bpe:
             at -= sizes[token]
         return tuple(out)
 
-    def parts_of(self, text: str) -> list[tuple[bytes, bytes]]:
-        """The ids of a text's pieces in order, each as bytes of int32 and as decimals joined by commas."""
+    def decimals(self, text: str) -> bytes:
+        """The ids of a text, as decimals joined by commas."""
         known, parts, at = self.pieces, [], 0
         for start, stop, token in self._added(text):
             parts += [known[p] for p in self.cut(text[at:start] if at or start < len(text) else text)]
             if token is not None:
-                parts.append((np.int32(token).tobytes(), b"%d" % token))
+                parts.append(b"%d" % token)
             at = stop
-        return parts
+        return b",".join(parts)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text (int32)."""
-        return np.frombuffer(b"".join([x for x, _ in self.parts_of(text)]), np.int32)
+        return _numbers(self.decimals(text))
 
     def _added(self, text: str):
         if self.split is not None and any(t in text for t in self.added):
@@ -208,6 +207,10 @@ KINDS = {
 }
 
 
+def _numbers(decimals: bytes) -> np.ndarray:
+    return np.fromstring(decimals, np.int32, sep=",") if decimals else np.empty(0, np.int32)
+
+
 def _lists(ids: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, ids)])
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
@@ -231,15 +234,15 @@ def _coder(df: DataFrame, tokenizer: str, outputs: tuple[str, ...]):
     def columns(bpe: Bpe, text: pa.Array) -> pa.Array:
         cols: dict[str, list] = {k: [] for k in outputs}
         for t in text:
-            parts = bpe.parts_of(t.as_py() or "")
-            ids = np.frombuffer(b"".join([x for x, _ in parts]), np.int32)
+            decimals = bpe.decimals(t.as_py() or "")
+            ids = _numbers(decimals)
             for k, col in cols.items():
                 if k == "ids":
                     col.append(ids)
                 elif k == "n_tokens":
                     col.append(len(ids))
                 elif k == "ids_sha256":
-                    col.append(hashlib.sha256(b",".join([x for _, x in parts])).hexdigest())
+                    col.append(hashlib.sha256(decimals).hexdigest())
                 elif k == "decoded":
                     col.append(bpe.decode(ids).decode("utf-8", "replace"))
                 else:

@@ -285,6 +285,24 @@ def test_license_edges(spark):
 
 # -- 6 --------------------------------------------------------------------------------------------------
 
+def test_bpe_remembers_little():
+    """A remembered piece takes one object besides itself: workers of a stage live on into the next, and share an executor's memory."""
+    import tracemalloc
+
+    with open(BYTE_BPE, encoding="utf-8") as f:
+        model = bpe.Bpe(f.read())
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choices("abcdefgh", k=8)) for _ in range(20_000))
+    tracemalloc.start()
+    try:
+        model.encode(text)
+        model.compatible = {}
+        assert tracemalloc.get_traced_memory()[0] / len(model.pieces) < 170
+    finally:
+        tracemalloc.stop()
+    assert len(model.encode("")) == 0
+
+
 def test_bpe_is_the_library(spark, prose):
     from tokenizers import Tokenizer
 
