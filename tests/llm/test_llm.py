@@ -262,6 +262,35 @@ def test_search(spark, prose, monkeypatch):
     assert bm25.search(d.limit(0), d.limit(0)).count() == 0
 
 
+def test_search_rows_grow_with_tasks_not_shards(spark, monkeypatch):
+    """A task's shards are merged before anything is written, and sums in single precision decide nothing."""
+    rng = random.Random(4)
+    pool = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(pool, k=rng.choice((1, 30, 1000, 1003)))) for _ in range(60)] + ["rare " * 900, "Rare_rare", "", None]
+    saved = []
+
+    class Seen(bm25.Scratch):
+        def save(self, df):
+            saved.append(super().save(df))
+            return saved[-1]
+
+    monkeypatch.setattr(bm25, "Scratch", Seen)
+    one_task = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    for name, value in one_task.items():
+        spark.conf.set(name, value)
+    try:
+        d = docs(spark, texts).repartition(11)
+        got = defaultdict(list)
+        for r in bm25.search(d, d, 3).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((-r["score"], r["doc_id"]))
+    finally:
+        for name in one_task:
+            spark.conf.unset(name)
+    want = {q: v for q, v in brute_bm25(dict(enumerate(texts)), range(len(texts)), 3).items() if v}
+    assert dict(got) == want
+    assert saved[0].count() == 11 and saved[-1].count() == sum(map(len, want.values()))
+
+
 # -- 5 --------------------------------------------------------------------------------------------------
 
 def test_license_edges(spark):
