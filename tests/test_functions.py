@@ -215,3 +215,26 @@ def test_representative_counts_uses_in_the_whole_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["id"]: (r["name"], r["uses"]) for r in catalog.queries()["h17_representative"](spark, str(tmp_path)).collect()}
     assert got == {0: ("dir", 2), 1: ("vdir", 3), 299: ("vdir", 3), 300: ("vdir", 3), 5000: ("vdir", 3)}
+
+
+def test_code_scale_and_two_stages_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(300, 70)), 1)  # many equal values, two words of signs
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>").repartition(5)
+    ranges = knn.scale(rows)
+    got = [(r["lo"], r["hi"]) for r in ranges.orderBy("dim").collect()]
+    assert np.allclose(got, np.quantile(v, [0.005, 0.995], axis=0).T, atol=1e-12)
+    monkeypatch.setattr(knn, "CODE_BLOCK", 4)
+    monkeypatch.setattr(knn, "TILE", 50)
+    coded = knn.with_codes(rows, ranges)
+    near = knn.two_stage(coded, coded.where("vec_id % 30 = 1"), 5, 20)
+    decoded = {r["vec_id"]: np.array(r["decoded"]) for r in coded.collect()}
+    want = set()
+    for q in range(1, 300, 30):
+        far = ((v > 0) != (v[q] > 0)).sum(axis=1)
+        pool = np.flatnonzero(far <= np.sort(far)[19])
+        best = sorted(pool, key=lambda i: (-round(float(v[q] @ decoded[i]), 6), i))[:5]
+        want |= {(q, n + 1, int(i), int(far[i])) for n, i in enumerate(best)}
+    assert {tuple(r)[:4] for r in near.collect()} == want
+    assert "NestedLoopJoin" not in near._jdf.queryExecution().toString()
+    assert knn.two_stage(coded, coded.where("vec_id < 0"), 5, 20).count() == 0
