@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 
 
-def hashed(dim: int = 64, salt: str = "") -> Callable[[Column], Column]:
-    """Signed feature hashing of words: deterministic, without a model file. An empty text gives a zero vector."""
+def hashed(dim: int = 64, salt: str = "", never_zero: bool = False) -> Callable[[Column], Column]:
+    """Signed feature hashing of words: deterministic, without a model file.
+
+    A text without words, or whose words cancel out, gives a zero vector; with ``never_zero``, as for texts that are stored, it counts as one word.
+    """
 
     @F.arrow_udf("array<double>")
     def embed(text: pa.Array) -> pa.Array:
@@ -29,6 +32,9 @@ def hashed(dim: int = 64, salt: str = "") -> Callable[[Column], Column]:
                     known[w] = (h % dim, 1.0 if h >> 63 else -1.0)
                 i, s = known[w]
                 v[i] += s
+            if never_zero and not v.any():
+                h = int.from_bytes(hashlib.blake2b((salt + (t.as_py() or "")).encode(), digest_size=8).digest(), "little")
+                v[h % dim] = 1.0 if h >> 63 else -1.0
             out.append(v / max(float(np.linalg.norm(v)), 1e-12))
         return pa.array([x.tolist() for x in out], pa.list_(pa.float64()))
 

@@ -23,7 +23,8 @@ def norm(v: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    return 1 - dot(a, b) / (norm(a) * norm(b))
+    """NULL where a vector has no direction."""
+    return 1 - F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def normalise(v: Column) -> Column:

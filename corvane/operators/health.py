@@ -91,8 +91,10 @@ Embedder = Callable[[Column], Column]
 
 
 def off_by(docs: DataFrame, embed: Embedder) -> DataFrame:
-    """``docs`` with ``fresh``, the body's embedding, and ``off``, its cosine distance to the stored one."""
-    return docs.withColumn("fresh", embed(F.col("body"))).withColumn("off", V.cosine_distance(V.doubles(F.col("embedding")), F.col("fresh")))
+    """``docs`` with ``fresh``, the body's embedding, and ``off``, its cosine distance to the stored one: 0 if both are zero, 1 if one is."""
+    stored, fresh = V.doubles(F.col("embedding")), F.col("fresh")
+    off = F.when(V.is_zero(stored) & V.is_zero(fresh), 0.0).when(V.is_zero(stored) | V.is_zero(fresh), 1.0).otherwise(V.cosine_distance(stored, fresh))
+    return docs.withColumn("fresh", embed(F.col("body"))).withColumn("off", off)
 
 
 def sentinel_mismatch(docs: DataFrame, embed: Embedder, current: str, n: int = SENTINELS, seed: str = "") -> float:

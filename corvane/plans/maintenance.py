@@ -316,10 +316,15 @@ def g19(spark, d):
     return health.blocked(e, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), 36000)
 
 
+def embedder():
+    """The embedder of stored documents: never a zero vector, whose faults couldn't be seen."""
+    return embedders.hashed(never_zero=True)
+
+
 def stored(spark, d):
     """Documents with the embedding of their text."""
     t = T(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    return t.withColumn("embedding", embedders.hashed()(F.col("body"))).withColumn("model_version", F.lit("now"))
+    return t.withColumn("embedding", embedder()(F.col("body"))).withColumn("model_version", F.lit("now"))
 
 
 @query("a27_inconsistent_rows", "select (count(*) filter (where doc_id % 5 = 0) + count(*) filter (where doc_id % 4 = 0))::bigint as n from documents")
@@ -327,14 +332,14 @@ def a27(spark, d):
     rows = stored(spark, d)
     broken = rows.withColumn("embedding", F.when(F.col("id") % 5 == 0, V.permuted("embedding")).otherwise(F.col("embedding")))
     broken = faults.relabel(broken, 4, "old")
-    off = health.off_by(broken, embedders.hashed())
+    off = health.off_by(broken, embedder())
     bad = F.count_if(F.coalesce(F.col("off"), F.lit(2.0)) > health.TOLERANCE) + F.count_if(F.col("model_version") != "now")
     return off.agg(bad.cast("bigint").alias("n"))
 
 
 @query("g13_reembed_stale", "select count(*) as n, 0::bigint as stale, count(*) filter (where doc_id % 4 = 0) as backed_up from documents")
 def g13(spark, d):
-    fixed, backup = health.reembed_stale(faults.relabel(stored(spark, d), 4, "old"), embedders.hashed(), "now")
+    fixed, backup = health.reembed_stale(faults.relabel(stored(spark, d), 4, "old"), embedder(), "now")
     return fixed.agg(F.count("*").alias("n"), F.count_if(F.col("model_version") != "now").alias("stale")).join(backup.agg(F.count("*").alias("backed_up")), F.lit(True))
 
 
@@ -342,8 +347,8 @@ def g13(spark, d):
 def g14(spark, d):
     rows = stored(spark, d)
     broken = rows.withColumn("embedding", F.when(F.col("id") % 5 == 0, V.permuted("embedding")).otherwise(F.col("embedding")))
-    fixed, backup = health.repair_vectors(broken, embedders.hashed(), "now")
-    left = health.off_by(fixed, embedders.hashed()).agg(F.count("*").alias("n"), F.count_if(F.col("off") > health.TOLERANCE).alias("bad"))
+    fixed, backup = health.repair_vectors(broken, embedder(), "now")
+    left = health.off_by(fixed, embedder()).agg(F.count("*").alias("n"), F.count_if(F.col("off") > health.TOLERANCE).alias("bad"))
     return left.join(backup.agg(F.count("*").alias("repaired")), F.lit(True))
 
 
@@ -351,10 +356,10 @@ def g14(spark, d):
 def g15(spark, d):
     rows = stored(spark, d)
     broken = rows.withColumn("embedding", F.when(F.col("id") % 5 == 0, V.permuted("embedding")).otherwise(F.col("embedding")))
-    fixed, backup = health.repair_vectors(broken, embedders.hashed(), "now")
+    fixed, backup = health.repair_vectors(broken, embedder(), "now")
     touched = fixed.withColumn("embedding", F.when(F.col("id") % 2 == 1, V.normalise(F.transform("embedding", lambda x: x + 1e-9))).otherwise(F.col("embedding")))
     back = health.rollback(touched, backup)
-    return health.off_by(back, embedders.hashed()).select("id", (F.coalesce("off", F.lit(0.0)) > health.TOLERANCE).alias("broken"))
+    return health.off_by(back, embedder()).select("id", (F.coalesce("off", F.lit(0.0)) > health.TOLERANCE).alias("broken"))
 
 
 @query("g23_exact_share", "select doc_id as id from documents order by md5(doc_id || 'seed'), doc_id limit (select greatest(1, round_even(count(*) * 25 / 100.0, 0))::bigint from documents)")

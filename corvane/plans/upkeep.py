@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.catalog import query
-from corvane.functions import embedders, vectors
+from corvane.functions import vectors
 from corvane.operators import dml, health, hnsw, knn
 from corvane.operators.store import Store
 from corvane.plans.common import table as T
-from corvane.plans.maintenance import scratch, stored
+from corvane.plans.maintenance import embedder, scratch, stored
 
 _NEAR = """with q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 100 = 5), d as (select query_id, vec_id, round(list_cosine_distance(embedding::double[], q), 6) as distance from embeddings, q),
 r as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from d)"""
@@ -44,7 +44,7 @@ def g8(spark, d):
 def g9(spark, d):
     rows = stored(spark, d)
     broken = rows.withColumn("embedding", F.when(F.col("id") % 4 == 0, vectors.permuted("embedding")).otherwise(F.col("embedding")))
-    return spark.createDataFrame([(health.sentinel_mismatch(broken, embedders.hashed(), "now", seed="s"),)], "mismatch_pct double")
+    return spark.createDataFrame([(health.sentinel_mismatch(broken, embedder(), "now", seed="s"),)], "mismatch_pct double")
 
 
 @query("g11_snapshots", """select row_number() over (order by ts::date) as id, ts::date as day, round(avg(value), 6) as mean_distance, round(100 * (avg(value) - first(avg(value)) over (order by ts::date)) / first(avg(value)) over (order by ts::date), 4) as shift from events group by ts::date""")
@@ -77,7 +77,7 @@ def g25(spark, d):
     backup = rows.where("id % 3 = 0").select("id", "embedding", "model_version")
     broken = rows.withColumn("embedding", F.when(F.col("id") % 3 == 0, vectors.permuted("embedding")).otherwise(F.col("embedding")))
     back = faults.restore(broken, backup, backup.count())
-    return health.off_by(back, embedders.hashed()).select("id", (F.coalesce("off", F.lit(0.0)) > health.TOLERANCE).alias("broken"))
+    return health.off_by(back, embedder()).select("id", (F.coalesce("off", F.lit(0.0)) > health.TOLERANCE).alias("broken"))
 
 
 @query("v15_backfill_codes", "select count(*) as n, count(*) filter (where vec_id % 3 = 0) as added from embeddings")

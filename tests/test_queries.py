@@ -1,5 +1,11 @@
 """Every query outside llm runs, and gives what its SQL gives."""
 
+import hashlib
+from pathlib import Path
+
+import oracle
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from oracle import SF, assert_same
 
@@ -33,3 +39,28 @@ def test_whole_tables_are_joined(spark, tmp_path):
     got = catalog.queries()["h26_lexical_baseline"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == {(3, 7, 1), (20, 7, 2)}
     assert {r[0] % 10 for r in catalog.queries()["j17_bookmarks"](spark, SF).select("user_id").distinct().collect()} == set(range(10))
+
+
+@pytest.fixture(scope="module")
+def wordless(tmp_path_factory):
+    """Documents without text or words, and with words of which the hashes cancel out."""
+    known, pair = {}, None
+    for i in range(1000):
+        h = int.from_bytes(hashlib.blake2b(f"w{i}".encode(), digest_size=8).digest(), "little")
+        pair = pair or ((known[h % 64, 1 - (h >> 63)], f"w{i}") if (h % 64, 1 - (h >> 63)) in known else None)
+        known.setdefault((h % 64, h >> 63), f"w{i}")
+    d = str(tmp_path_factory.mktemp("wordless"))
+    rows = [(i, [None, "", "?!", " ".join(pair), "some words"][i // 12]) for i in range(60)]
+    pq.write_table(pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]}), f"{d}/documents.parquet")
+    return d
+
+
+def same_on(spark, monkeypatch, name, d):
+    monkeypatch.setattr(oracle, "SF", d)
+    monkeypatch.setattr(oracle, "TABLES", [p.name.removesuffix(".parquet") for p in Path(d).iterdir() if p.suffix == ".parquet"])
+    assert_same(catalog.queries()[name](spark, d), SQL[name])
+
+
+@pytest.mark.parametrize("name", ["a27_inconsistent_rows"])
+def test_texts_without_a_direction(spark, monkeypatch, wordless, name):
+    same_on(spark, monkeypatch, name, wordless)
