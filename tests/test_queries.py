@@ -61,6 +61,6 @@ def same_on(spark, monkeypatch, name, d):
     assert_same(catalog.queries()[name](spark, d), SQL[name])
 
 
-@pytest.mark.parametrize("name", ["a27_inconsistent_rows", "g14_repair_vectors", "g15_rollback"])
+@pytest.mark.parametrize("name", ["a27_inconsistent_rows", "g14_repair_vectors", "g15_rollback", "g25_checked_restore"])
 def test_texts_without_a_direction(spark, monkeypatch, wordless, name):
     same_on(spark, monkeypatch, name, wordless)
