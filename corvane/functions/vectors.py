@@ -75,7 +75,16 @@ def as_text(v: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_number(x.cast("double"), "0.000000")), ","), F.lit("]"))
 
 
-def permuted(v: str, shift: int = 17) -> Column:
-    """Another coordinate system of the same lengths: rolled by ``shift``, even dimensions negated."""
-    n = f"size({v})"
-    return F.expr(f"transform(sequence(0, {n} - 1), i -> if(i % 2 = 0, -1.0D, 1.0D) * {v}[cast(pmod(i - {shift}, {n}) as int)])")
+def permuted(v: str, shift: int = 17, dims: int | None = None) -> Column:
+    """Another coordinate system of the same lengths: rolled by ``shift``, even dimensions negated.
+
+    ``dims``: of this many dimensions whatever is stored; components that aren't there are NULL.
+    """
+    n = f"size({v})" if dims is None else str(dims)
+    at = f"{v}[cast(pmod(i - {shift}, {n}) as int)]" if dims is None else f"get({v}, cast(pmod(i - {shift}, {n}) as int))"
+    return F.expr(f"transform(sequence(0, {n} - 1), i -> if(i % 2 = 0, -1.0D, 1.0D) * {at})")
+
+
+def rounded(x: Column, digits: int = 6) -> Column:
+    """Rounded, with the sign of what became zero, as in SQL."""
+    return F.abs(F.round(x, digits)) * F.signum(x)
