@@ -19,7 +19,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    """The length by the components that are there; NULL if none is."""
+    there = F.filter(v, lambda x: x.isNotNull())
+    return F.when(F.size(there) > 0, F.sqrt(F.aggregate(there, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

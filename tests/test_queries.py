@@ -67,7 +67,7 @@ def test_texts_without_a_direction(spark, monkeypatch, wordless, name):
     same_on(spark, monkeypatch, name, wordless)
 
 
-@pytest.mark.parametrize("name", ["g22_permuted_vectors"])
+@pytest.mark.parametrize("name", ["g22_permuted_vectors", "v2_normalised"])
 def test_odd_vectors_keep_signs_and_gaps(spark, tmp_path, name):
     rows = [[0.0] * 64, [1e-7, -1e-7] * 32, [0.5, -0.0] * 32, None, [], [0.125] * 5 + [None] + [0.125] * 58, [None] * 64, [float("nan")] * 64]
     if name == "g22_permuted_vectors":
@@ -78,3 +78,11 @@ def test_odd_vectors_keep_signs_and_gaps(spark, tmp_path, name):
     con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
     theirs = con.execute(SQL[name]).to_arrow_table().to_pylist()
     assert sorted(map(str, mine)) == sorted(map(str, theirs))  # as text: minus zero counts
+
+
+def test_any_word_lane_keeps_frequent_words(spark, monkeypatch, tmp_path):
+    pq.write_table(pa.table({"item_id": [1], "text": ["a b alpha beetle"]}), f"{tmp_path}/benchmark.parquet")
+    text = ["alpha" if i % 2 else "beetle beetle" for i in range(21_000)]
+    pq.write_table(pa.table({"doc_id": range(len(text)), "text": text, "source": text, "lang": text}), f"{tmp_path}/documents.parquet")
+    same_on(spark, monkeypatch, "h8_any_word_lane", str(tmp_path))
+    assert {r["id"] % 2 for r in catalog.queries()["h8_any_word_lane"](spark, str(tmp_path)).collect()} == {0}
