@@ -174,14 +174,13 @@ def h7(spark, d):
     return R.skipped(asked(spark, d), R.term_df(b), b.count())
 
 
-@query("h8_any_word_lane", f"""with {_INDEX}, {_ASK}, df as (select word, count(*) as ndoc from tf group by word),
-t as (select *, sum(ndoc) over (partition by query_id order by ndoc, word) as sofar, row_number() over (partition by query_id order by ndoc, word) as place from qt join df using (word) where length(word) >= 4 and word not in ('that', 'this', 'with', 'from')),
-m as (select query_id, id, round(sum(n / (n + 1.0)), 6) as score from (select query_id, word from t where sofar <= 20000 or place = 1) join tf using (word) group by query_id, id),
+@query("h8_any_word_lane", f"""with {_INDEX}, {_ASK},
+t as (select query_id, word from qt where length(word) >= 4 and word not in ('that', 'this', 'with', 'from')),
+m as (select query_id, id, round(sum(n / (n + 1.0)), 6) as score from t join tf using (word) group by query_id, id),
 r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from m) select query_id, 'fts_any' as lane, id, rank from r where rank <= 40""")
 def h8(spark, d):
-    b = docs(spark, d)
     q = asked(spark, d)
-    return R.any_word_lane(R.postings(b, only=R.query_terms(q)), q, R.term_df(b))
+    return R.any_word_lane(R.postings(docs(spark, d), only=R.query_terms(q)), q)
 
 
 _ENTITIES = "e as (select p_partkey as entity_id, p_name as name, [lower(split_part(p_type, ' ', 3)), lower(p_brand)] as aliases, case when p_partkey % 2 = 0 then 'tool' else 'concept' end as type, case when p_partkey % 4 = 0 then 'T' || (1000 + p_partkey) else '' end as ext_id from part)"
