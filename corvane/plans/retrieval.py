@@ -180,7 +180,7 @@ m as (select query_id, id, round(sum(n / (n + 1.0)), 6) as score from t join tf
 r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from m) select query_id, 'fts_any' as lane, id, rank from r where rank <= 40""")
 def h8(spark, d):
     q = asked(spark, d)
-    return R.any_word_lane(R.postings(docs(spark, d), only=R.query_terms(q)), q)
+    return R.any_word_lane(R.postings(docs(spark, d), only=R.query_terms(q)), q, stop=frozenset(("that", "this", "with", "from")))  # those of the SQL
 
 
 _ENTITIES = "e as (select p_partkey as entity_id, p_name as name, [lower(split_part(p_type, ' ', 3)), lower(p_brand)] as aliases, case when p_partkey % 2 = 0 then 'tool' else 'concept' end as type, case when p_partkey % 4 = 0 then 'T' || (1000 + p_partkey) else '' end as ext_id from part)"

@@ -86,3 +86,10 @@ def test_any_word_lane_keeps_frequent_words(spark, monkeypatch, tmp_path):
     pq.write_table(pa.table({"doc_id": range(len(text)), "text": text, "source": text, "lang": text}), f"{tmp_path}/documents.parquet")
     same_on(spark, monkeypatch, "h8_any_word_lane", str(tmp_path))
     assert {r["id"] % 2 for r in catalog.queries()["h8_any_word_lane"](spark, str(tmp_path)).collect()} == {0}
+
+
+def test_any_word_lane_passes_over_the_words_of_its_sql(spark, monkeypatch, tmp_path):
+    pq.write_table(pa.table({"item_id": [1, 2], "text": ["a b have beetle", "a b from when"]}), f"{tmp_path}/benchmark.parquet")
+    text = ["have", "beetle", "from", "when", "have beetle when"]
+    pq.write_table(pa.table({"doc_id": range(5), "text": text, "source": text, "lang": text}), f"{tmp_path}/documents.parquet")
+    same_on(spark, monkeypatch, "h8_any_word_lane", str(tmp_path))
