@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
+#: Words of a vocabulary up to which a matrix of all pairs is made in each task.
+GRAM = 1000
 
 
 def hashed(dim: int = 64, salt: str = "", never_zero: bool = False) -> Callable[[Column], Column]:
@@ -68,8 +70,14 @@ class TfidfSvd:
         counted = self.counter.transform(words)
         self.idf = IDF(inputCol="__c", outputCol="__t").fit(counted)
         rows = self.idf.transform(counted).select("__t").rdd.map(lambda r: Vectors.fromML(r[0]))
-        v = RowMatrix(rows).computeSVD(min(self.dim, len(self.counter.vocabulary)), computeU=False).V
-        self.basis = v.toArray()
+        n = len(self.counter.vocabulary)
+        if n <= GRAM:
+            # One pass over the texts; the iterations of computeSVD would each count all words again.
+            values, vectors = np.linalg.eigh(RowMatrix(rows, numCols=n).computeGramianMatrix().toArray())
+            size = np.sqrt(np.maximum(values[::-1], 0))
+            self.basis = vectors[:, ::-1][:, : self.dim][:, size[: self.dim] > 1e-9 * size[0]]
+        else:
+            self.basis = RowMatrix(rows).computeSVD(min(self.dim, n), computeU=False).V.toArray()
         return self
 
     def transform(self, df: DataFrame, text: str = "text", to: str = "embedding") -> DataFrame:

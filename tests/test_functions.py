@@ -259,3 +259,15 @@ def test_name_lane_by_few_trigrams_finds_all_similar_names(spark):
     few = retrieval._rarest(type("Uses", (), {"value": {g: 1 for n in names for g in trigram._grams(n)}}))
     batch = pa.RecordBatch.from_pydict({"grams": [sorted(set(trigram._grams("steel iron number 7")))]})
     assert sum(b.num_rows for b in few([batch])) <= 4
+
+
+def test_svd_by_one_pass_is_that_of_the_iterations(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 30) if x < 40)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    once = embedders.TfidfSvd(4, 100).fit(docs)
+    monkeypatch.setattr(embedders, "GRAM", 0)
+    often = embedders.TfidfSvd(4, 100).fit(docs)
+    place = [often.counter.vocabulary.index(w) for w in once.counter.vocabulary]
+    a, b = once.basis, often.basis[place]
+    assert np.allclose(a @ a.T, b @ b.T, atol=1e-6)  # the same space; signs are free
