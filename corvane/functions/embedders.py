@@ -28,14 +28,15 @@ def hashed(dim: int = 64, salt: str = "", never_zero: bool = False) -> Callable[
         out = []
         for t in text:
             v = np.zeros(dim)
-            for w in WORD.findall((t.as_py() or "").lower()):
+            body = t.as_buffer().to_pybytes().decode(errors="replace") if t.is_valid else ""  # as_py() fails on bytes that aren't UTF-8
+            for w in WORD.findall(body.lower()):
                 if w not in known:
                     h = int.from_bytes(hashlib.blake2b((salt + w).encode(), digest_size=8).digest(), "little")
                     known[w] = (h % dim, 1.0 if h >> 63 else -1.0)
                 i, s = known[w]
                 v[i] += s
             if never_zero and not v.any():
-                h = int.from_bytes(hashlib.blake2b((salt + (t.as_py() or "")).encode(), digest_size=8).digest(), "little")
+                h = int.from_bytes(hashlib.blake2b((salt + body).encode(), digest_size=8).digest(), "little")
                 v[h % dim] = 1.0 if h >> 63 else -1.0
             out.append(v / max(float(np.linalg.norm(v)), 1e-12))
         return pa.array([x.tolist() for x in out], pa.list_(pa.float64()))

@@ -67,6 +67,29 @@ def test_texts_without_a_direction(spark, monkeypatch, wordless, name):
     same_on(spark, monkeypatch, name, wordless)
 
 
+@pytest.fixture(scope="module")
+def odd_texts(tmp_path_factory):
+    """Documents of bytes that aren't UTF-8, and such that a permuted vector is the same again."""
+    words, pattern, i, sign = {}, [0] * 64, 0, 1
+    for k in range(2000):
+        h = int.from_bytes(hashlib.blake2b(f"w{k}".encode(), digest_size=8).digest(), "little")
+        words.setdefault((h % 64, 1 if h >> 63 else -1), f"w{k}")
+    for _ in range(64):
+        pattern[i], i = sign, (i + 17) % 64
+        sign = -sign if i % 2 == 0 else sign
+    same = " ".join(words[i, s] for i, s in enumerate(pattern)).encode()
+    d = str(tmp_path_factory.mktemp("odd_texts"))
+    text = pa.array([[b"caf\xe9 \xed\xa0\x80 words", b"\xff", same, b"some words"][i // 15] for i in range(60)], pa.binary())
+    text = pa.StringArray.from_buffers(len(text), text.buffers()[1], text.buffers()[2])
+    pq.write_table(pa.table({"doc_id": pa.array(range(60), pa.int64()), "text": text}), f"{d}/documents.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["g14_repair_vectors"])
+def test_texts_of_any_bytes(spark, monkeypatch, odd_texts, name):
+    same_on(spark, monkeypatch, name, odd_texts)
+
+
 @pytest.mark.parametrize("name", ["g22_permuted_vectors", "v2_normalised"])
 def test_odd_vectors_keep_signs_and_gaps(spark, tmp_path, name):
     rows = [[0.0] * 64, [1e-7, -1e-7] * 32, [0.5, -0.0] * 32, None, [], [0.125] * 5 + [None] + [0.125] * 58, [None] * 64, [float("nan")] * 64]
