@@ -31,8 +31,8 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    n = F.greatest(norm(v), F.lit(TINY))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    n = F.array_repeat(F.greatest(norm(v), F.lit(TINY)), F.size(v))  # once a vector, not for each component
+    return F.zip_with(v, n, lambda x, y: x.cast("double") / y)
 
 
 def is_zero(v: Column) -> Column:

@@ -189,11 +189,13 @@ def repair_vectors(docs: DataFrame, embed: Embedder, current: str) -> tuple[Data
 
 
 def rollback(docs: DataFrame, backup: DataFrame) -> DataFrame:
-    """The backed-up vectors again, where the row still has the healed one; rows that changed since then stay."""
-    b = backup.select("id", F.col("embedding").alias("__old"), F.col("model_version").alias("__label"), F.col("healed").alias("__healed"))
-    met = docs.join(b, "id", "left").withColumn("__back", F.coalesce(V.doubles(F.col("embedding")) == V.doubles(F.col("__healed")), F.lit(False)))
-    met = met.withColumn("embedding", F.when(F.col("__back"), V.doubles(F.col("__old"))).otherwise(V.doubles(F.col("embedding"))))
-    return met.withColumn("model_version", F.when(F.col("__back"), F.col("__label")).otherwise(F.col("model_version"))).select(*docs.columns)
+    """The backed-up vectors again, where the row still has the healed one; rows that changed since then stay, and each row stays one if ids repeat."""
+    b = backup.groupBy(F.col("id").alias("__id"), V.doubles(F.col("healed")).alias("__healed"))
+    b = b.agg(F.min(F.struct(V.doubles(F.col("embedding")).alias("old"), F.col("model_version").alias("label"))).alias("__b"))
+    met = docs.withColumn("embedding", V.doubles(F.col("embedding"))).join(b, (F.col("id") == F.col("__id")) & (F.col("embedding") == F.col("__healed")), "left")
+    back = F.col("__b").isNotNull()
+    met = met.withColumn("embedding", F.when(back, F.col("__b.old")).otherwise(F.col("embedding")))
+    return met.withColumn("model_version", F.when(back, F.col("__b.label")).otherwise(F.col("model_version"))).select(*docs.columns)
 
 
 def unchanged(read: DataFrame, now: DataFrame) -> DataFrame:

@@ -361,11 +361,11 @@ def g14(spark, d):
 @query("g15_rollback", "select doc_id as id, doc_id % 5 = 0 and doc_id % 2 = 0 as broken from documents")
 def g15(spark, d):
     rows = stored(spark, d)
-    broken = rows.withColumn("embedding", F.when(F.col("id") % 5 == 0, V.permuted("embedding")).otherwise(F.col("embedding")))
+    broken = rows.withColumn("embedding", F.when(F.col("id") % 5 == 0, struck("embedding")).otherwise(F.col("embedding")))
     fixed, backup = health.repair_vectors(broken, embedder(), "now")
-    touched = fixed.withColumn("embedding", F.when(F.col("id") % 2 == 1, V.normalise(F.transform("embedding", lambda x: x + 1e-9))).otherwise(F.col("embedding")))
+    touched = fixed.withColumn("embedding", F.when(F.col("id") % 2 != 0, V.normalise(F.transform("embedding", lambda x: x + 1e-9))).otherwise(F.col("embedding")))
     back = health.rollback(touched, backup)
-    return health.off_by(back, embedder()).select("id", (F.coalesce("off", F.lit(0.0)) > health.TOLERANCE).alias("broken"))
+    return health.off_by(back, embedder()).select("id", F.when(F.col("id").isNotNull(), F.coalesce("off", F.lit(0.0)) > health.TOLERANCE).alias("broken"))
 
 
 @query("g23_exact_share", "select doc_id as id from documents order by md5(doc_id || 'seed'), doc_id limit (select greatest(1, round_even(count(*) * 25 / 100.0, 0))::bigint from documents)")

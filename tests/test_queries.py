@@ -85,11 +85,25 @@ def odd_texts(tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["g14_repair_vectors"])
+@pytest.mark.parametrize("name", ["g14_repair_vectors", "g15_rollback"])
 def test_texts_of_any_bytes(spark, monkeypatch, odd_texts, name):
     same_on(spark, monkeypatch, name, odd_texts)
 
 
+@pytest.fixture(scope="module")
+def odd_ids(tmp_path_factory):
+    """Documents of which ids are missing, below zero or repeated, with the same and with other texts."""
+    d = str(tmp_path_factory.mktemp("odd_ids"))
+    ids = [*range(-20, 20), *[None] * 5, *[30] * 8, *[15] * 4]
+    pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": [[None, "some words", f"word{i}", ""][i % 4] for i in range(len(ids))]}), f"{d}/documents.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["g15_rollback"])
+def test_ids_that_repeat_or_are_missing(spark, monkeypatch, odd_ids, name):
+    same_on(spark, monkeypatch, name, odd_ids)
+
+
 @pytest.mark.parametrize("name", ["g22_permuted_vectors", "v2_normalised"])
 def test_odd_vectors_keep_signs_and_gaps(spark, tmp_path, name):
     rows = [[0.0] * 64, [1e-7, -1e-7] * 32, [0.5, -0.0] * 32, None, [], [0.125] * 5 + [None] + [0.125] * 58, [None] * 64, [float("nan")] * 64]
