@@ -43,12 +43,12 @@ def relabel(docs: DataFrame, n: int, label: str) -> DataFrame:
     return docs.withColumn("model_version", F.when(F.col("id") % n == 0, F.lit(label)).otherwise(F.col("model_version")))
 
 
-def restore(docs: DataFrame, backup: DataFrame, expected: int) -> DataFrame:
-    """The backed-up vectors and labels; raises ValueError if not every backup row is there."""
-    if backup.join(docs.select("id"), "id", "left_semi").count() != expected:
+def restore(docs: DataFrame, backup: DataFrame, expected: int, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The backed-up vectors and labels; raises ValueError if not every backup row is there. ``keys`` tell rows apart, also where ids repeat."""
+    if backup.join(docs.select(*keys), [*keys], "left_semi").count() != expected:
         raise ValueError("rows are missing")
-    b = backup.select("id", F.col("embedding").alias("__e"), F.col("model_version").alias("__m"))
-    met = docs.join(b, "id", "left")
-    hit = F.col("__m").isNotNull()
-    met = met.withColumn("embedding", F.when(hit, V.doubles(F.col("__e"))).otherwise(V.doubles(F.col("embedding"))))
-    return met.withColumn("model_version", F.when(hit, F.col("__m")).otherwise(F.col("model_version"))).select(*docs.columns)
+    b = backup.groupBy(*keys).agg(F.min(F.struct(V.doubles(F.col("embedding")).alias("e"), F.col("model_version").alias("m"))).alias("__b"))
+    met = docs.join(b, [*keys], "left")
+    hit = F.col("__b").isNotNull()
+    met = met.withColumn("embedding", F.when(hit, F.col("__b.e")).otherwise(V.doubles(F.col("embedding"))))
+    return met.withColumn("model_version", F.when(hit, F.col("__b.m")).otherwise(F.col("model_version"))).select(*docs.columns)

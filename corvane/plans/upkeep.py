@@ -73,10 +73,10 @@ def g12(spark, d):
 def g25(spark, d):
     from corvane.operators import faults
 
-    rows = stored(spark, d)
-    backup = rows.where("id % 3 = 0").select("id", "embedding", "model_version")
+    rows = stored(spark, d).withColumn("mark", F.md5(F.coalesce("body", F.lit(""))))  # rows of one id and text have one vector
+    backup = rows.where("id % 3 = 0").select("id", "mark", "embedding", "model_version")
     broken = rows.withColumn("embedding", F.when(F.col("id") % 3 == 0, vectors.permuted("embedding")).otherwise(F.col("embedding")))
-    back = faults.restore(broken, backup, backup.count())
+    back = faults.restore(broken, backup, backup.count(), ("id", "mark"))
     return health.off_by(back, embedder()).select("id", (F.coalesce("off", F.lit(0.0)) > health.TOLERANCE).alias("broken"))
 
 

@@ -85,7 +85,7 @@ def odd_texts(tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["g14_repair_vectors", "g15_rollback"])
+@pytest.mark.parametrize("name", ["g14_repair_vectors", "g15_rollback", "g25_checked_restore"])
 def test_texts_of_any_bytes(spark, monkeypatch, odd_texts, name):
     same_on(spark, monkeypatch, name, odd_texts)
 
@@ -99,7 +99,7 @@ def odd_ids(tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["g15_rollback"])
+@pytest.mark.parametrize("name", ["g15_rollback", "g25_checked_restore"])
 def test_ids_that_repeat_or_are_missing(spark, monkeypatch, odd_ids, name):
     same_on(spark, monkeypatch, name, odd_ids)
 
